@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import packing, quality_rules, token_ids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -25,3 +25,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     return quality_rules.rejected(docs, labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+def _tokenizer(name: str) -> str:
+    """Where the public vocabulary file lies; on a cluster, the same path on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@_query
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.packed(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@_query
+def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_ids.encoded(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
