@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality_rules, token_ids
+from . import packing, quality_rules, tiff, token_ids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -44,3 +44,8 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_ids.encoded(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@_query
+def op4_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.digests(tiff.texts_as_tiff(_table(spark, sf_dir, "documents")))
