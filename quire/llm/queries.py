@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality_rules, tiff, token_ids
+from . import language_id, packing, quality_rules, quality_votes, tiff, token_ids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -49,3 +49,17 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op4_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.digests(tiff.texts_as_tiff(_table(spark, sf_dir, "documents")))
+
+
+@_query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = language_id.predict(docs, language_id.fit(docs))
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op6_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    found = quality_votes.score(docs, quality_votes.fit(docs, labels))
+    return found.select("doc_id", language_id.held_out(5, 0).alias("held_out"), "score", "predicted")
