@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import language_id, packing, quality_rules, quality_votes, tiff, token_ids
+from . import language_id, lm_scores, mixing, packing, quality_rules, quality_votes, tiff, token_ids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -63,3 +64,33 @@ def op6_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     found = quality_votes.score(docs, quality_votes.fit(docs, labels))
     return found.select("doc_id", language_id.held_out(5, 0).alias("held_out"), "score", "predicted")
+
+
+@_query
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm_scores.scores(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", F.round("score", 6).alias("score"))
+
+
+SQL["op5_lm_scores"] = f"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS r, unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS z, generate_subscripts(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), 1) AS i FROM documents),
+u AS (SELECT *, lag(z) OVER w AS y, lag(z, 2) OVER w AS x FROM t WINDOW w AS (PARTITION BY r ORDER BY i)),
+c1 AS (SELECT z, count(*) AS n FROM u GROUP BY z),
+c2 AS (SELECT y, z, count(*) AS n FROM u WHERE y IS NOT NULL GROUP BY y, z),
+c3 AS (SELECT x, y, z, count(*) AS n FROM u WHERE x IS NOT NULL GROUP BY x, y, z),
+s AS (SELECT u.doc_id, u.r, CASE WHEN c3.n >= {lm_scores.LEAST} THEN ln(c3.n / xy.n) WHEN c2.n >= {lm_scores.LEAST} THEN ln(c2.n / oy.n) + ln({lm_scores.BACKOFF})
+  ELSE ln(c1.n / (SELECT count(*) FROM u)) + 2 * ln({lm_scores.BACKOFF}) END AS s
+  FROM u JOIN c1 USING (z) LEFT JOIN c2 ON c2.y = u.y AND c2.z = u.z LEFT JOIN c3 ON c3.x = u.x AND c3.y = u.y AND c3.z = u.z
+  LEFT JOIN c2 AS xy ON xy.y = u.x AND xy.z = u.y LEFT JOIN c1 AS oy ON oy.z = u.y),
+d AS (SELECT doc_id, r, count(*) AS n, avg(s) AS s FROM s GROUP BY doc_id, r)
+SELECT a.doc_id, coalesce(d.n, 0)::BIGINT AS n_words, round(d.s, 6) AS score FROM (SELECT doc_id, row_number() OVER () AS r FROM documents) AS a LEFT JOIN d USING (r)
+"""
+
+
+@_query
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mixed(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "kept")
+
+
+SQL["op8_source_mixing"] = f"WITH {mixing.mixing_sql()}\nSELECT doc_id, source, lang, topic, n_tokens, round(probability, 6) AS probability, kept FROM mixed"
