@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, lm_scores, mixing, packing, quality_rules, quality_votes, tiff, token_ids
+from . import language_id, lm_scores, mixing, ngram_jaccard, packing, quality_rules, quality_votes, tiff, token_ids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -94,3 +94,20 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op8_source_mixing"] = f"WITH {mixing.mixing_sql()}\nSELECT doc_id, source, lang, topic, n_tokens, round(probability, 6) AS probability, kept FROM mixed"
+
+
+@_query
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.joined(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+SQL["op10_ngram_jaccard"] = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN coalesce(len(w), 0) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(generate_series(1, len(w) - 3), lambda i: array_to_string(w[i:i+3], ' ')) END) AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared WHERE 100 * c >= 85 * (na + nb - c)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, ways.b FROM reach JOIN ways ON ways.a = reach.b)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, r.c AS component_id FROM s JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) AS r ON r.a = s.doc_id
+"""
