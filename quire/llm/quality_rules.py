@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from . import _text as T
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks", "n_digits", "n_short_words", "n_lines")
-STATS_SCHEMA = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS)
 WINDOW = 8
 
 
@@ -93,17 +92,19 @@ def piece_stats(piece: T.Piece) -> list[np.ndarray]:
     ]
 
 
-def text_stats(docs: DataFrame) -> DataFrame:
-    """doc_id and the COUNTS of each whole text, a row for each row of docs."""
+def text_stats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The COUNTS of each whole text after the columns to carry, a row for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", *COUNTS]
         for batch in batches:
             for piece in T.pieces(batch.column("text")):
-                ids = batch.column("doc_id").slice(piece.lo, piece.docs).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(x.astype(np.int64)) for x in piece_stats(piece))], names)
+                own = [batch.column(c).slice(piece.lo, piece.docs) for c in carry]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(x.astype(np.int64)) for x in piece_stats(piece))], [*carry, *COUNTS])
 
-    return docs.select("doc_id", "text").mapInArrow(run, STATS_SCHEMA)
+    schema = docs.select(*carry).schema
+    for name in COUNTS:
+        schema = schema.add(name, "long")
+    return docs.select(*dict.fromkeys((*carry, "text"))).mapInArrow(run, schema)
 
 
 #: What rules may test: ratios, so that a rule means the same for short and long texts.
@@ -237,14 +238,14 @@ def learned_rules(docs: DataFrame, labels: DataFrame, *, sample: int = 6000, **o
     marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")
-    rows = with_features(text_stats(texts)).where(~base_failed()).join(F.broadcast(chosen), "doc_id").select("quality", *FEATURES).orderBy("quality", *FEATURES).toPandas()
+    rows = with_features(text_stats(texts)).where(~base_failed()).join(F.broadcast(chosen), "doc_id").select("quality", *FEATURES).toPandas().sort_values(["quality", *FEATURES])
     bad = (rows["quality"] == 0).to_numpy()
     return learn({name: rows[name].to_numpy(float) for name in FEATURES}, bad, **options) if 0 < bad.sum() < len(bad) else []
 
 
-def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Counts of each document, base_failed, the rule that rejects it, and kept."""
-    out = with_features(text_stats(docs)).withColumn("base_failed", base_failed()).withColumn("rule", rule_name(rules))
+def judge(docs: DataFrame, rules: list[Rule], carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Counts of each document after the columns to carry, base_failed, the rule that rejects it, and kept."""
+    out = with_features(text_stats(docs, carry)).withColumn("base_failed", base_failed()).withColumn("rule", rule_name(rules))
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 

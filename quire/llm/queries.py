@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, lm_scores, mixing, ngram_jaccard, packing, quality_rules, quality_votes, tiff, token_ids
+from . import language_id, lm_scores, mixing, ngram_jaccard, packing, passages, quality_rules, quality_votes, tiff, token_ids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -111,3 +111,8 @@ ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, ways.b FROM reach JOIN ways ON ways.a = reach.b)
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, r.c AS component_id FROM s JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) AS r ON r.a = s.doc_id
 """
+
+
+@_query
+def op1_passage_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages(_table(spark, sf_dir, "documents"))
