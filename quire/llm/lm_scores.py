@@ -48,17 +48,26 @@ def _ngrams(w: T.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return out ^ np.uint64(n), known
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """All low bytes, then all next ones: small numbers leave planes of zeros, which compress well."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _from_planes(raw: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind)[:, 0]
+
+
 def pack(hashes: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
     """Ascending 48-bit hashes as low words and differences of high ones, and counts."""
     high = np.diff((hashes >> np.uint64(32)).astype(np.int64), prepend=0).astype("<u2")
-    return (hashes & _LOW).astype("<u4").tobytes(), zlib.compress(high.tobytes() + counts.astype("<u4").tobytes(), 1)
+    return (hashes & _LOW).astype("<u4").tobytes(), zlib.compress(_planes(high) + _planes(counts.astype("<u4")), 1)
 
 
 def unpack(low: bytes, rest: bytes) -> tuple[np.ndarray, np.ndarray]:
     lows = np.frombuffer(low, "<u4").astype(np.uint64)
     raw = zlib.decompress(rest)
-    high = np.cumsum(np.frombuffer(raw, "<u2", len(lows)).astype(np.uint64), dtype=np.uint64)
-    return high << np.uint64(32) | lows, np.frombuffer(raw, "<u4", offset=2 * len(lows))
+    high = np.cumsum(_from_planes(raw[: 2 * len(lows)], "<u2").astype(np.uint64), dtype=np.uint64)
+    return high << np.uint64(32) | lows, _from_planes(raw[2 * len(lows) :], "<u4")
 
 
 class Exploded:
@@ -136,12 +145,12 @@ def scores(docs: DataFrame, *, order: int = ORDER, least: int = LEAST, backoff:
         out = np.empty(len(every), "<u4")
         out[by] = total[np.cumsum(first) - 1]
         at = np.cumsum([0] + [len(h) for h, _ in parts])
-        blobs = [zlib.compress(out[at[k] : at[k + 1]].tobytes(), 1) for k in range(len(parts))]
+        blobs = [zlib.compress(_planes(out[at[k] : at[k + 1]]), 1) for k in range(len(parts))]
         return pa.Table.from_arrays([table.column("bucket"), table.column("batch"), pa.array(blobs, pa.binary())], ["bucket", "batch", "totals"])
 
     def sum_up(left: pa.Table, right: pa.Table) -> pa.Table:
         e = Exploded(left.column("text"), order, buckets)
-        answers = {b: np.frombuffer(zlib.decompress(x), "<u4") for b, x in zip(right.column("bucket").to_pylist(), right.column("totals").to_pylist(), strict=True)}
+        answers = {b: _from_planes(zlib.decompress(x), "<u4") for b, x in zip(right.column("bucket").to_pylist(), right.column("totals").to_pylist(), strict=True)}
         n, total = _scores(e, e.totals(answers), max(words, 1), least, backoff)
         some = n > 0
         mean = pa.array(total / np.maximum(n, 1), mask=~some)
