@@ -5,19 +5,22 @@ Jaccard similarity reaches a ratio num/den, compared exactly in integers.
 
 1. Sets are measured in one pass: size and a 128-bit signature. Documents of equal sets are a
    class, and its smallest doc_id stands for it.
-2. The n-grams' order puts rare ones first. Counts come from all documents: each batch
-   reports the n-grams it sees twice or more, and those of the highest counts, at most
-   FREQUENT, are broadcast; all others count as rare and go by their hash. Any common order
-   gives right results; this one keeps frequent passages out of the prefixes.
+2. The n-grams' order puts rare ones first: an n-gram occurs no more often than its rarest
+   word, so that word's count over all documents ranks it, and its hash breaks ties. Each batch
+   reports the words it sees twice or more; those of the highest counts, at most FREQUENT, are
+   broadcast, and all others count as rare. Any common order gives right results; this one
+   keeps what many documents share out of the prefixes.
 3. Sets that reach the ratio share an n-gram in their prefixes. Prefix rows are (n-gram, doc,
    size, position); n-grams in one prefix only are dropped.
-4. Copies with small edits form large groups that share many n-grams. A first round pairs
-   each row with few delegates of its n-gram, chosen by hash, and links what it verifies. The
-   second round joins rows of one n-gram whose documents are not yet connected, so a large
-   group that the first has connected makes no pairs, and every pair that could still
-   connect two components is tried.
-5. A pair passes the length and positional filters in the join, is tried once, and is
-   verified against whole sets, after a suffix filter that bounds the overlap by how probes
+4. Copies with small edits form large groups that share many n-grams. The first round pairs
+   each row with two delegates of its n-gram only, the document whose prefix others share most
+   and another by hash, and connects what links. Rows stay whose n-gram joins documents that
+   are not connected. Of their documents, n-grams that no other of them has are counted, as
+   an overlap can hold none of these. The second round joins the rows of one n-gram and two
+   components, so a group that is connected makes no pairs, an edited copy too far from all
+   others makes none either, and every pair that could still connect components is tried.
+5. A pair is made once, at the first n-gram that both prefixes have, passes the length and
+   positional filters there, and is verified against whole sets, after a suffix filter that bounds the overlap by how probes
    split both sets. Sets are computed anew from the texts of documents in pairs only.
 
 So the components are those of all links, although links inside a component that is already
@@ -35,23 +38,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
 from ._graph import components
 from ._store import written
 
-#: Most n-grams in the broadcast table of frequent ones: 12 bytes each.
+#: Most words in the broadcast table of frequent ones: 12 bytes each.
 FREQUENT = 1 << 18
+#: Places of the table that a worker looks words up in, of a byte each.
+RANKS = 1 << 22
 #: Bits of the broadcast filter of documents whose sets are needed; others pass it by chance.
 FILTER_BITS = 1 << 23
-DELEGATES = 3
 
 
 def sets_of(piece: T.Piece, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct 52-bit shingle hashes of each document, ascending, and the documents' bounds."""
-    w = T.words(piece, lower=True)
+    return _distinct_sets(*_shingles(T.words(piece, lower=True), n))
+
+
+def _distinct_sets(keys: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
+    every = T.distinct(keys)
+    owner = (every >> T.KEY_BITS).astype(np.int64)
+    return every & np.uint64((1 << 52) - 1), np.searchsorted(owner, np.arange(docs + 1))
+
+
+def _shingles(w: T.Words, n: int) -> tuple[np.ndarray, int]:
+    """Document and hash of each shingle as one key, in the order of the words; those of few words last."""
     gram, whole = T.grams(w, n)
     doc = T.doc_of(w.at)
     at = np.flatnonzero(whole)
@@ -64,9 +78,7 @@ def sets_of(piece: T.Piece, n: int) -> tuple[np.ndarray, np.ndarray]:
             for k in range(few):
                 total = T.mix(total + w.hash[w.at[some] + k])
             keys.append(T.keyed(some, total))
-    every = T.distinct(np.concatenate(keys))
-    owner = (every >> T.KEY_BITS).astype(np.int64)
-    return every & np.uint64((1 << 52) - 1), np.searchsorted(owner, np.arange(piece.docs + 1))
+    return np.concatenate(keys), len(w.at) - 1
 
 
 def _signatures(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,43 +90,45 @@ def _signatures(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out[0], out[1]
 
 
-MEASURED = "doc_id long, n long, s1 long, s2 long, gram long, seen long"
+MEASURED = "doc_id long, n long, s1 long, s2 long, word long, seen long"
 
 
 def _measured(docs: DataFrame, n: int) -> DataFrame:
-    """A row for each document (gram null), and one for each n-gram that a batch saw twice or more."""
+    """A row for each document (word null), and one for each word that a batch saw twice or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "n", "s1", "s2", "gram", "seen")])
+        schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "n", "s1", "s2", "word", "seen")])
 
         def rows(found: dict[str, pa.Array]) -> pa.RecordBatch:
             size = len(next(iter(found.values())))
             return pa.RecordBatch.from_arrays([found.get(f.name, pa.nulls(size, pa.int64())) for f in schema], schema=schema)
 
         for batch in batches:
-            kept, known = [], set()
+            counted, known = [], set()
             for piece in T.pieces(batch.column("text")):
-                values, at = sets_of(piece, n)
+                w = T.words(piece, lower=True)
+                values, at = _distinct_sets(*_shingles(w, n))
                 s1, s2 = _signatures(values, at)
                 yield rows({"doc_id": batch.column("doc_id").slice(piece.lo, piece.docs), "n": pa.array(np.diff(at)), "s1": pa.array(s1), "s2": pa.array(s2)})
-                for k in range(piece.docs):  # copies in a batch count once
-                    if (sign := (s1[k], s2[k])) not in known:
-                        known.add(sign)
-                        kept.append(values[at[k] : at[k + 1]])
-            if kept:
-                values, seen = np.unique(np.concatenate(kept), return_counts=True)
+                fresh = np.zeros(piece.docs, bool)
+                for k, sign in enumerate(zip(s1.tolist(), s2.tolist(), strict=True)):  # copies in a batch count once
+                    fresh[k] = sign not in known
+                    known.add(sign)
+                counted.append(np.unique(w.hash[np.repeat(fresh, np.diff(w.at))], return_counts=True))
+            if counted:
+                every, place = np.unique(np.concatenate([x for x, _ in counted]), return_inverse=True)
+                seen = np.bincount(place, weights=np.concatenate([c for _, c in counted]), minlength=len(every)).astype(np.int64)
                 often = seen >= 2
-                yield rows({"gram": pa.array(values[often].view(np.int64)), "seen": pa.array(seen[often])})
+                yield rows({"word": pa.array(every[often].view(np.int64)), "seen": pa.array(seen[often])})
 
     return docs.mapInArrow(run, MEASURED)
 
 
 def _frequent(measured: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams of the highest counts, ascending, with their counts: at most ``most``."""
-    counts = measured.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("seen").alias("seen"))
+    """The hashes of the words of the highest counts, and their counts in steps: at most ``most``."""
+    counts = measured.where("word IS NOT NULL").groupBy("word").agg(F.sum("seen").alias("seen"))
     # Classes of counts, a few hundred whatever the counts are, tell which bound keeps the table small.
-    step = F.floor(F.log2("seen") * 8)
-    counts = written(counts.withColumn("step", step), "grams")
+    counts = written(counts.select("word", F.floor(F.log2("seen") * 4).cast("int").alias("step")), "words")
     total, least = 0, None
     for r in counts.groupBy("step").count().orderBy(F.desc("step")).collect():
         total += r["count"]
@@ -122,35 +136,44 @@ def _frequent(measured: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
             break
         least = r["step"]
     if least is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    got = counts.where(F.col("step") >= least).select("gram", "seen").toArrow()
-    gram, seen = got.column("gram").to_numpy().astype(np.uint64), got.column("seen").to_numpy()
-    by = np.argsort(gram)
-    return gram[by], seen[by]
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+    got = counts.where(F.col("step") >= least).toArrow()
+    return got.column("word").to_numpy().astype(np.int64).view(np.uint64), np.minimum(got.column("step").to_numpy(), 255).astype(np.uint8)
 
 
 def _prefixes(docs: DataFrame, n: int, ratio: tuple[int, int], frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Prefix rows of each document, packed: n-grams in their order."""
+    """Prefix rows of each document: its first n-grams in the common order."""
     num, den = ratio
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    low = np.uint64(RANKS - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, seen = shared.value
+        word, step = shared.value
+        ranks = np.zeros(RANKS, np.uint8)
+        by = np.argsort(step, kind="stable")  # of words in one place, the most frequent counts
+        ranks[(word[by] & low).astype(np.int64)] = step[by] + np.uint8(1)
         for batch in batches:
             for piece in T.pieces(batch.column("text")):
-                values, at = sets_of(piece, n)
+                w = T.words(piece, lower=True)
+                own = ranks[(w.hash & low).astype(np.int64)]
+                rank = own.copy()
+                for k in range(1, n):
+                    rank[:-k] = np.minimum(rank[:-k], own[k:])
+                _, whole = T.grams(w, n)
+                keys, _ = _shingles(w, n)
+                rank = np.concatenate([rank[whole], np.zeros(len(keys) - int(whole.sum()), np.uint8)])
+                order = np.argsort(keys, kind="stable")
+                first = order[np.append(True, keys[order][1:] != keys[order][:-1])] if len(order) else order
+                keys, rank = keys[first], rank[first]
+                doc, values = (keys >> T.KEY_BITS).astype(np.int64), keys & np.uint64((1 << 52) - 1)
+                at = np.searchsorted(doc, np.arange(piece.docs + 1))
                 size = np.diff(at)
-                count = np.zeros(len(values), np.int64)
-                if len(gram):
-                    place = np.minimum(np.searchsorted(gram, values), len(gram) - 1)
-                    count = np.where(gram[place] == values, seen[place], 0)
-                doc = T.doc_of(at)
-                order = np.lexsort((values, count, doc))
+                order = np.lexsort((values, rank, doc))
                 length = size - -(-num * size // den) + 1  # size - ceil(size * ratio) + 1
                 place = np.arange(len(values)) - np.repeat(at[:-1], size)
                 use = place < np.repeat(length, size)
-                ids = batch.column("doc_id").slice(piece.lo, piece.docs)
                 rows = doc[use]
+                ids = batch.column("doc_id").slice(piece.lo, piece.docs)
                 yield pa.RecordBatch.from_arrays([pa.array(values[order][use].view(np.int64)), ids.take(pa.array(rows)), pa.array(size[rows].astype(np.int32)), pa.array(place[use].astype(np.int32))], ["gram", "doc", "n", "pos"])
 
     return docs.mapInArrow(run, "gram long, doc long, n int, pos int")
@@ -232,44 +255,64 @@ def _verified(pairs: DataFrame, sets: DataFrame, ratio: tuple[int, int]) -> Data
     return with_two.select("a", "b", "one", "two").mapInArrow(run, "a long, b long")
 
 
-def joined(docs: DataFrame, *, n: int = 4, ratio: tuple[int, int] = (85, 100), frequent: int = FREQUENT, delegates: int = DELEGATES) -> DataFrame:
+def joined(docs: DataFrame, *, n: int = 4, ratio: tuple[int, int] = (85, 100), frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_shingles, component_id and class_id (the smallest doc_id of an equal set) for each row of docs."""
     num, den = ratio
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     measured = written(_measured(docs, n), "measured")
-    own = measured.where("gram IS NULL").select("doc_id", "n", "s1", "s2")
+    own = measured.where("word IS NULL").select("doc_id", "n", "s1", "s2")
     classes = written(own.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
 
     prefixes = written(_prefixes(docs.where("doc_id IS NOT NULL"), n, ratio, _frequent(measured, frequent)), "prefixes")
     shared = prefixes.groupBy("gram").agg(F.count("*").alias("rows")).where("rows > 1").select("gram")
-    rows = prefixes.join(shared, "gram").join(classes.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi")
+    rows = prefixes.join(shared, "gram", "left_semi").join(classes.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi")
     rows = written(rows, "shared")
 
-    picks = rows.groupBy("gram").agg(*(F.min(F.struct(F.xxhash64("doc", F.lit(k)).alias("h"), F.col("doc").alias("doc2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))).alias(f"d{k}") for k in range(delegates)))
-    near = rows.join(picks, "gram").select("doc", "n", "pos", F.inline(F.array_distinct(F.array(*(f"d{k}" for k in range(delegates))))))
-    tried = _pairs(near, num, den)
-    sets = written(_sets(docs, n, tried), "sets")
-    links = written(_verified(tried, sets, ratio), "links")
-    labels = components(links)
-
-    labelled = rows.join(labels.select(F.col("node").alias("doc"), F.col("component").alias("label")), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-    labelled = written(labelled, "labelled")
-    open_ = labelled.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("gram")
-    left = written(labelled.join(open_, "gram", "left_semi"), "open")
-    right = left.select("gram", *(F.col(c).alias(f"{c}2") for c in ("doc", "n", "pos", "label")))
-    across = left.join(right, "gram").where(F.col("label") < F.col("label2"))
-    rest = written(_pairs(across, num, den, keep=False).join(tried, ["a", "b"], "left_anti"), "pairs")
-    more = written(_sets(docs, n, rest), "sets")
-    found = components(links.union(written(_verified(rest, more, ratio), "links")))
-
-    named = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    out = own.join(named, ["n", "s1", "s2"], "left")
-    some = F.col("n") > 0
-    # A repeated doc_id is one node: a row may belong to the class of another of its rows.
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(some & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.when(some & F.col("doc_id").isNotNull(), F.col("rep")).otherwise(F.col("doc_id")).alias("class_id"))
-
-
-def _pairs(rows: DataFrame, num: int, den: int, keep: bool = True) -> DataFrame:
+    # How much of its prefix a document shares: copies hold n-grams of their own edits, and what they are copies of holds none.
+    share = rows.groupBy("doc", "n").agg(F.count("*").alias("k")).select("doc", (F.col("k") / (F.col("n") - F.ceil(F.col("n") * num / den) + 1)).alias("share"))
+    member = [F.col(c).alias(f"{c}2") for c in ("doc", "n", "pos")]
+    picks = rows.join(share, "doc").groupBy("gram").agg(F.min(F.struct((-F.col("share")).alias("h"), *member)).alias("one"), F.min(F.struct(F.xxhash64("doc").cast("double").alias("h"), *member)).alias("two"))
+    near = rows.join(picks, "gram").select("doc", "n", "pos", F.inline(F.array_distinct(F.array("one", "two"))))
+    tried = written(_pairs(near, num, den), "pairs")
+    links = written(_verified(tried, written(_sets(docs, n, tried), "sets"), ratio), "links")
+
+    labels = components(links).select(F.col("node").alias("doc"), F.col("component").alias("label"))
+    named = written(rows.join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc")), "named")
+    parts = named.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("gram")
+    named = written(named.join(parts, "gram", "left_semi"), "open")
+    left = named.select(F.col("doc").alias("a"), F.col("doc").alias("b")).distinct()
+    sets = written(_sets(docs, n, left).join(left.select(F.col("a").alias("doc")), "doc", "left_semi"), "sets")
+    # A pair is made at the first n-gram that both prefixes have: each row knows those before it.
+    earlier = F.collect_list("gram").over(Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+    named = written(named.join(_shared_sizes(sets), "doc").withColumn("earlier", earlier), "open")
+    right = named.select("gram", *(F.col(c).alias(f"{c}2") for c in ("doc", "n", "pos", "label", "most", "earlier")))
+    most = F.least("most", "most2", F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))  # nothing before that place is common
+    fits = (most * (num + den) >= (F.col("n") + F.col("n2")).cast("long") * num) & ~F.arrays_overlap("earlier", "earlier2")
+    across = named.join(right, "gram").where((F.col("label") < F.col("label2")) & fits)
+    rest = written(_pairs(across, num, den).join(tried, ["a", "b"], "left_anti"), "pairs")
+    found = components(links.union(written(_verified(rest, sets, ratio), "links")))
+
+    reps = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    out = own.join(reps, ["n", "s1", "s2"], "left")
+    some = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(some, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.when(some, F.col("rep")).otherwise(F.col("doc_id")).alias("class_id"))
+
+
+def _shared_sizes(sets: DataFrame) -> DataFrame:
+    """(doc, most): how many of a set's n-grams some other of these sets has too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), 256):
+                raw = batch.column("values").slice(lo, 256).to_pylist()
+                doc = batch.column("doc").slice(lo, 256).take(pa.array(np.repeat(np.arange(len(raw)), [len(x) // 8 for x in raw])))
+                yield pa.RecordBatch.from_arrays([doc, pa.array(np.frombuffer(b"".join(raw), "<i8"))], ["doc", "gram"])
+
+    grams = sets.mapInArrow(run, "doc long, gram long")
+    alone = grams.groupBy("gram").agg(F.count("*").alias("k"), F.min("doc").alias("doc")).where("k = 1").groupBy("doc").agg(F.count("*").alias("alone"))
+    return sets.select("doc", (F.octet_length("values") / 8).cast("long").alias("size")).join(alone, "doc", "left").select("doc", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("most"))
+
+
+def _pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
     """Distinct pairs a < b of row pairs that pass the filters."""
-    passed = rows.where((F.col("doc") != F.col("doc2")) & _may_link(num, den)).select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
-    return written(passed, "pairs") if keep else passed
+    return rows.where((F.col("doc") != F.col("doc2")) & _may_link(num, den)).select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
