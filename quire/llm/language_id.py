@@ -106,37 +106,42 @@ def train(windows: np.ndarray, target: np.ndarray, languages: list[str], *, epoc
 
 
 def as_windows(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The texts of a piece as one buffer of windows, the first window of each, bytes in each."""
+    """The texts of a piece as rows of LENGTH + 3 bytes, the first row of each text, and its own bytes in each row.
+
+    Zeros follow each text, so nothing of its neighbours is seen.
+    """
     size = np.diff(at)
-    number = (size + 3) // LENGTH + 1  # at least three zeros follow each text
+    number = np.maximum(-(-size // LENGTH), 1)
     start = np.append(0, np.cumsum(number))
-    flat = np.zeros(start[-1] * LENGTH + 4, np.uint8)
-    flat[np.arange(len(data)) + np.repeat(start[:-1] * LENGTH - at[:-1], size)] = data
+    room = number * LENGTH + 3
+    place = np.append(0, np.cumsum(room))
+    flat = np.zeros(place[-1], np.uint8)
+    flat[np.arange(len(data)) + np.repeat(place[:-1] - at[:-1], size)] = data
     inside = np.arange(start[-1]) - np.repeat(start[:-1], number)
-    return flat, start, np.clip(np.repeat(size, number) - inside * LENGTH, 0, LENGTH)
+    rows = np.lib.stride_tricks.sliding_window_view(flat, LENGTH + 3)[np.repeat(place[:-1], number) + inside * LENGTH]
+    return rows, start, np.clip(np.repeat(size, number) - inside * LENGTH, 0, LENGTH)
 
 
 class Scorer:
     def __init__(self, model: Model):
         self.model, (self.front, self.rear) = model, model.tables()
 
-    def windows(self, flat: np.ndarray, n: int) -> np.ndarray:
-        """Probabilities of n windows, a few hundred at a time."""
+    def windows(self, rows: np.ndarray) -> np.ndarray:
+        """Probabilities of windows, a few at a time."""
         m, out = self.model, []
-        for lo in range(0, n, 128):
-            here = min(128, n - lo)
-            x = flat[lo * LENGTH : (lo + here) * LENGTH + 4].astype(np.int32)
-            pair = (x[:-1] << 8) | x[1:]
-            value = np.take(self.front, pair[: here * LENGTH], axis=0)
-            value[:, FILTERS:] += np.take(self.rear, pair[2 : here * LENGTH + 2], axis=0)
-            hidden = np.maximum(value.reshape(here, LENGTH, -1).max(1) + m.bias, 0)
+        for lo in range(0, len(rows), 128):
+            x = rows[lo : lo + 128].astype(np.int32)
+            pair = (x[:, :-1] << 8) | x[:, 1:]
+            value = np.take(self.front, pair[:, :LENGTH], axis=0)
+            value[:, :, FILTERS:] += np.take(self.rear, pair[:, 2:], axis=0)
+            hidden = np.maximum(value.max(1) + m.bias, 0)
             out.append(_softmax(hidden @ m.out + m.out_bias))
         return np.concatenate(out)
 
     def texts(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Probabilities of each text of a piece."""
-        flat, start, weight = as_windows(data, at)
-        p = self.windows(flat, int(start[-1])) * weight[:, None]
+        rows, start, weight = as_windows(data, at)
+        p = self.windows(rows) * weight[:, None]
         total = np.maximum(np.add.reduceat(weight, start[:-1]), 1)
         return np.add.reduceat(p, start[:-1], axis=0) / total[:, None]
 
