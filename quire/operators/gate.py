@@ -77,7 +77,7 @@ def landmarks_match(lines: DataFrame, pages: DataFrame, by: Sequence[str], least
     """
     seen = lines.join(pages.select(*by, "page_no", F.col("text").alias("_page")), [*by, "page_no"], "left")
     found = F.contains(normalized(F.col("_page")), landmark(normalized(F.col("text")))) | (coverage_text(F.col("text"), F.col("_page")) >= least)
-    return seen.groupBy(*by, "page_no").agg(F.bool_and(F.coalesce(found, F.lit(False))).alias("landmarks_match"))
+    return seen.groupBy(*by, "page_no").agg(F.bool_and(F.col("_page").isNotNull() & F.coalesce(found, F.lit(False))).alias("landmarks_match"))
 
 
 def sections_in_order(pages: DataFrame, by: Sequence[str], heading: Column, is_reference: Column) -> DataFrame:
