@@ -152,3 +152,31 @@ def test_job_stream(spark, tmp_path):
     query = SJ.latest_states(SJ.read_events(spark, str(tmp_path / "in"))).writeStream.outputMode("complete").format("memory").queryName("states").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert [(r["job_id"], r["status"]) for r in spark.table("states").collect()] == [("a", "completed")]
+
+
+def test_cover_placeholders(spark):
+    schema = "doc string, page_no int, item_no int, x double, y double, w double, h double"
+    empty = spark.createDataFrame([("d", 1, 1, 50.0, 200.0, 400.0, 30.0), ("d", 1, 2, 50.0, 100.0, 400.0, 30.0), ("d", 1, 3, 50.0, 50.0, 100.0, 30.0), ("d", 1, 4, 50.0, 390.0, 400.0, 30.0)], schema)
+    pages = spark.createDataFrame([("d", 1, 600.0, 800.0)], "doc string, page_no int, page_w double, page_h double")
+    first = spark.createDataFrame([("d", 390.0)], "doc string, first_y double")
+    out = S.cover_placeholders(empty, pages, first, ["doc"]).orderBy("y").collect()
+    assert [(r["item_no"], r["role"], r["h"]) for r in out] == [(2, "cover-title", 30.0), (1, "cover-abstract", 70.0)]
+
+
+def test_zone_frames(spark):
+    pages = spark.createDataFrame([("d", 1, 600.0), ("d", 2, 600.0)], "doc string, page_no int, page_w double")
+    empty = spark.createDataFrame([("d", 2, 1, 20.0, 300.0, 90.0, 20.0), ("d", 2, 2, 30.0, 100.0, 80.0, 25.0), ("d", 2, 3, 400.0, 50.0, 80.0, 25.0)], "doc string, page_no int, item_no int, x double, y double, w double, h double")
+    zones = spark.createDataFrame([(1, "label", 1.0, 10.0, 1.0, 1.0), (2, "label", 1.0, 20.0, 1.0, 1.0), (3, "label", 1.0, 30.0, 1.0, 1.0), (1, "content", 5.0, 40.0, 5.0, 5.0)], "zone_no int, kind string, x double, y double, w double, h double")
+    out = {(r["kind"], r["zone_no"]): (r["page_no"], r["x"], r["w"], r["h"], r["y"]) for r in S.zone_frames(pages, empty, zones, ["doc"]).collect()}
+    assert out == {("label", 1): (2, 30.0, 80.0, 25.0, 10.0), ("label", 2): (2, 20.0, 90.0, 20.0, 20.0), ("label", 3): (2, 1.0, 1.0, 1.0, 30.0), ("content", 1): (2, 5.0, 5.0, 5.0, 40.0)}
+
+
+def test_totals_and_counts(spark):
+    stories = spark.createDataFrame([("d", True, 1), ("d", False, 2)], "doc string, overflows boolean, tables int")
+    pages = spark.createDataFrame([("d", 3, 2), ("d", 4, 1)], "doc string, text_frame_count int, max_column_count int")
+    assert tuple(G.audit_totals(stories, pages, ["doc"]).first()) == ("d", True, 3, 7, 2)
+    items = spark.createDataFrame([("d", "shape", True, "bounding-box"), ("d", "shape", True, None), ("d", "textFrame", False, None)], "doc string, kind string, is_figure boolean, text_wrap string")
+    assert tuple(G.item_counts(items, ["doc"]).first()) == ("d", 1, 2)
+    assert tuple(G.wrap_counts(items, ["doc"]).first())[1:3] == (2, 1)
+    entries = spark.createDataFrame([("d", "b/x"), ("d", "a"), ("d", "b/y")], "doc string, path string")
+    assert tuple(G.entry_summary(entries, ["doc"]).first()) == ("d", ["a", "b/x", "b/y"], ["a", "b"], 3)
