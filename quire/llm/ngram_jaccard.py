@@ -5,20 +5,21 @@ Jaccard similarity reaches a ratio num/den, compared exactly in integers.
 
 1. Sets are measured in one pass: size and a 128-bit signature. Documents of equal sets are a
    class, and its smallest doc_id stands for it.
-2. The n-grams' order puts rare ones first: an n-gram occurs no more often than its rarest
-   word, so that word's count over all documents ranks it, and its hash breaks ties. Each batch
-   reports the words it sees twice or more; those of the highest counts, at most FREQUENT, are
-   broadcast, and all others count as rare. Any common order gives right results; this one
-   keeps what many documents share out of the prefixes.
+2. The n-grams' order puts rare ones first. Each batch of documents reports the n-grams that it
+   sees twice or more, and those whose counts over all batches reach each of LEVELS are set in
+   bitmaps of a fixed size, which are broadcast: an n-gram's rank is the number of its bits, and
+   its hash breaks ties. Any common order gives right results; this one keeps what many
+   documents share out of the prefixes.
 3. Sets that reach the ratio share an n-gram in their prefixes. Prefix rows are (n-gram, doc,
    size, position); n-grams in one prefix only are dropped.
 4. Copies with small edits form large groups that share many n-grams. The first round pairs
    each row with two delegates of its n-gram only, the document whose prefix others share most
    and another by hash, and connects what links. Rows stay whose n-gram joins documents that
-   are not connected. Of their documents, n-grams that no other of them has are counted, as
-   an overlap can hold none of these. The second round joins the rows of one n-gram and two
-   components, so a group that is connected makes no pairs, an edited copy too far from all
-   others makes none either, and every pair that could still connect components is tried.
+   are not connected. For the documents of large groups, n-grams that no other of these has are
+   counted, as an overlap of two of them can hold none. The second round joins the rows of one
+   n-gram and two components, so a group that is connected makes no pairs, an edited copy too
+   far from all others of its group makes none with them, and every pair that could still
+   connect components is tried.
 5. A pair is made once, at the first n-gram that both prefixes have, passes the length and
    positional filters there, and is verified against whole sets, after a suffix filter that bounds the overlap by how probes
    split both sets. Sets are computed anew from the texts of documents in pairs only.
@@ -45,10 +46,11 @@ from . import _text as T
 from ._graph import components
 from ._store import written
 
-#: Most words in the broadcast table of frequent ones: 12 bytes each.
-FREQUENT = 1 << 18
-#: Places of the table that a worker looks words up in, of a byte each.
-RANKS = 1 << 22
+#: Counts that raise an n-gram's rank, and the bits of each level's bitmap.
+LEVELS = (2, 8, 64)
+LEVEL_BITS = 1 << 25
+#: An n-gram with so many open rows makes a large group.
+LARGE = 64
 #: Bits of the broadcast filter of documents whose sets are needed; others pass it by chance.
 FILTER_BITS = 1 << 23
 
@@ -90,84 +92,76 @@ def _signatures(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out[0], out[1]
 
 
-MEASURED = "doc_id long, n long, s1 long, s2 long, word long, seen long"
+MEASURED = "doc_id long, n long, s1 long, s2 long, gram long, seen long"
 
 
 def _measured(docs: DataFrame, n: int) -> DataFrame:
-    """A row for each document (word null), and one for each word that a batch saw twice or more."""
+    """A row for each document (gram null), and one for each n-gram that a batch saw twice or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "n", "s1", "s2", "word", "seen")])
+        schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "n", "s1", "s2", "gram", "seen")])
 
         def rows(found: dict[str, pa.Array]) -> pa.RecordBatch:
             size = len(next(iter(found.values())))
             return pa.RecordBatch.from_arrays([found.get(f.name, pa.nulls(size, pa.int64())) for f in schema], schema=schema)
 
         for batch in batches:
-            counted, known = [], set()
+            kept, known = [], set()
             for piece in T.pieces(batch.column("text")):
-                w = T.words(piece, lower=True)
-                values, at = _distinct_sets(*_shingles(w, n))
+                values, at = sets_of(piece, n)
                 s1, s2 = _signatures(values, at)
                 yield rows({"doc_id": batch.column("doc_id").slice(piece.lo, piece.docs), "n": pa.array(np.diff(at)), "s1": pa.array(s1), "s2": pa.array(s2)})
                 fresh = np.zeros(piece.docs, bool)
                 for k, sign in enumerate(zip(s1.tolist(), s2.tolist(), strict=True)):  # copies in a batch count once
                     fresh[k] = sign not in known
                     known.add(sign)
-                counted.append(np.unique(w.hash[np.repeat(fresh, np.diff(w.at))], return_counts=True))
-            if counted:
-                every, place = np.unique(np.concatenate([x for x, _ in counted]), return_inverse=True)
-                seen = np.bincount(place, weights=np.concatenate([c for _, c in counted]), minlength=len(every)).astype(np.int64)
-                often = seen >= 2
-                yield rows({"word": pa.array(every[often].view(np.int64)), "seen": pa.array(seen[often])})
+                kept.append(values[np.repeat(fresh, np.diff(at))])
+            if kept:
+                ordered = np.concatenate(kept)
+                ordered.sort()
+                first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
+                seen = np.diff(np.append(first, len(ordered)))
+                yield rows({"gram": pa.array(ordered[first[seen >= 2]].view(np.int64)), "seen": pa.array(seen[seen >= 2])})
 
     return docs.mapInArrow(run, MEASURED)
 
 
-def _frequent(measured: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of the words of the highest counts, and their counts in steps: at most ``most``."""
-    counts = measured.where("word IS NOT NULL").groupBy("word").agg(F.sum("seen").alias("seen"))
-    # Classes of counts, a few hundred whatever the counts are, tell which bound keeps the table small.
-    counts = written(counts.select("word", F.floor(F.log2("seen") * 4).cast("int").alias("step")), "words")
-    total, least = 0, None
-    for r in counts.groupBy("step").count().orderBy(F.desc("step")).collect():
-        total += r["count"]
-        if total > most:
-            break
-        least = r["step"]
-    if least is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint8)
-    got = counts.where(F.col("step") >= least).toArrow()
-    return got.column("word").to_numpy().astype(np.int64).view(np.uint64), np.minimum(got.column("step").to_numpy(), 255).astype(np.uint8)
-
-
-def _prefixes(docs: DataFrame, n: int, ratio: tuple[int, int], frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def _bitmap(rows: DataFrame, by: list[str], place: Column, bits: int) -> dict[tuple, bytes]:
+    """A bitmap of the places of the rows of each value of ``by``."""
+    each = 8 * 4096
+    placed = rows.select(*by, (place + 1).alias("p"))  # Spark's bitmaps count from 1
+    found = placed.groupBy(*by, F.bitmap_bucket_number("p").alias("_k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bits")).collect()
+    out: dict[tuple, bytearray] = {}
+    for r in found:
+        whole = out.setdefault(tuple(r[c] for c in by), bytearray(bits // 8 + each // 8))
+        lo = (r["_k"] - 1) * each // 8
+        whole[lo : lo + len(r["_bits"])] = r["_bits"]
+    return {k: bytes(v) for k, v in out.items()}
+
+
+def _levels(measured: DataFrame) -> list[bytes]:
+    """Bitmaps of the n-grams whose counts reach each of LEVELS."""
+    counts = measured.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("seen").alias("seen"))
+    reached = counts.select("gram", F.explode(F.filter(F.array(*map(F.lit, LEVELS)), lambda v: v <= F.col("seen"))).alias("level"))
+    found = _bitmap(reached, ["level"], F.pmod("gram", F.lit(LEVEL_BITS)), LEVEL_BITS)
+    return [found[k] for k in sorted(found)]
+
+
+def _prefixes(docs: DataFrame, n: int, ratio: tuple[int, int], levels: list[bytes]) -> DataFrame:
     """Prefix rows of each document: its first n-grams in the common order."""
     num, den = ratio
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    low = np.uint64(RANKS - 1)
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word, step = shared.value
-        ranks = np.zeros(RANKS, np.uint8)
-        by = np.argsort(step, kind="stable")  # of words in one place, the most frequent counts
-        ranks[(word[by] & low).astype(np.int64)] = step[by] + np.uint8(1)
+        bitmaps = [np.frombuffer(b, np.uint8) for b in shared.value]
         for batch in batches:
             for piece in T.pieces(batch.column("text")):
-                w = T.words(piece, lower=True)
-                own = ranks[(w.hash & low).astype(np.int64)]
-                rank = own.copy()
-                for k in range(1, n):
-                    rank[:-k] = np.minimum(rank[:-k], own[k:])
-                _, whole = T.grams(w, n)
-                keys, _ = _shingles(w, n)
-                rank = np.concatenate([rank[whole], np.zeros(len(keys) - int(whole.sum()), np.uint8)])
-                order = np.argsort(keys, kind="stable")
-                first = order[np.append(True, keys[order][1:] != keys[order][:-1])] if len(order) else order
-                keys, rank = keys[first], rank[first]
-                doc, values = (keys >> T.KEY_BITS).astype(np.int64), keys & np.uint64((1 << 52) - 1)
-                at = np.searchsorted(doc, np.arange(piece.docs + 1))
-                size = np.diff(at)
+                values, at = sets_of(piece, n)
+                size, doc = np.diff(at), T.doc_of(at)
+                bit = (values & np.uint64(LEVEL_BITS - 1)).astype(np.int64)
+                rank = np.zeros(len(values), np.uint8)
+                for bits in bitmaps:
+                    rank += (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1
                 order = np.lexsort((values, rank, doc))
                 length = size - -(-num * size // den) + 1  # size - ceil(size * ratio) + 1
                 place = np.arange(len(values)) - np.repeat(at[:-1], size)
@@ -212,14 +206,8 @@ def reaches(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
 
 def _needed(pairs: DataFrame) -> bytes:
     """A bitmap of the hashed documents in pairs, of FILTER_BITS bits."""
-    each = 8 * 4096
-    place = F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS)) + 1  # Spark's bitmaps count from 1
-    rows = pairs.select(F.explode(F.array("a", "b")).alias("doc")).select(place.alias("p")).select(F.bitmap_bucket_number("p").alias("k"), F.bitmap_bit_position("p").alias("bit")).groupBy("k").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
-    out = bytearray(FILTER_BITS // 8 + each // 8)
-    for r in rows:
-        lo = (r["k"] - 1) * each // 8
-        out[lo : lo + len(r["bits"])] = r["bits"]
-    return bytes(out)
+    rows = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    return _bitmap(rows, [], F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS)), FILTER_BITS).get((), bytes(FILTER_BITS // 8 + 4096))
 
 
 def _sets(docs: DataFrame, n: int, pairs: DataFrame) -> DataFrame:
@@ -255,15 +243,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, ratio: tuple[int, int]) -> Data
     return with_two.select("a", "b", "one", "two").mapInArrow(run, "a long, b long")
 
 
-def joined(docs: DataFrame, *, n: int = 4, ratio: tuple[int, int] = (85, 100), frequent: int = FREQUENT) -> DataFrame:
+def joined(docs: DataFrame, *, n: int = 4, ratio: tuple[int, int] = (85, 100)) -> DataFrame:
     """doc_id, n_shingles, component_id and class_id (the smallest doc_id of an equal set) for each row of docs."""
     num, den = ratio
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     measured = written(_measured(docs, n), "measured")
-    own = measured.where("word IS NULL").select("doc_id", "n", "s1", "s2")
+    own = measured.where("gram IS NULL").select("doc_id", "n", "s1", "s2")
     classes = written(own.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
 
-    prefixes = written(_prefixes(docs.where("doc_id IS NOT NULL"), n, ratio, _frequent(measured, frequent)), "prefixes")
+    prefixes = written(_prefixes(docs.where("doc_id IS NOT NULL"), n, ratio, _levels(measured)), "prefixes")
     shared = prefixes.groupBy("gram").agg(F.count("*").alias("rows")).where("rows > 1").select("gram")
     rows = prefixes.join(shared, "gram", "left_semi").join(classes.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi")
     rows = written(rows, "shared")
@@ -280,17 +268,19 @@ def joined(docs: DataFrame, *, n: int = 4, ratio: tuple[int, int] = (85, 100), f
     named = written(rows.join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc")), "named")
     parts = named.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("gram")
     named = written(named.join(parts, "gram", "left_semi"), "open")
-    left = named.select(F.col("doc").alias("a"), F.col("doc").alias("b")).distinct()
-    sets = written(_sets(docs, n, left).join(left.select(F.col("a").alias("doc")), "doc", "left_semi"), "sets")
+    large = named.groupBy("gram").agg(F.count("*").alias("k")).where(F.col("k") >= LARGE).select("gram")
+    crowd = written(named.join(large, "gram", "left_semi").select("doc").distinct(), "crowd")
+    sizes = _shared_sizes(_sets(docs, n, crowd.select(F.col("doc").alias("a"), F.col("doc").alias("b"))).join(crowd, "doc", "left_semi"))
     # A pair is made at the first n-gram that both prefixes have: each row knows those before it.
     earlier = F.collect_list("gram").over(Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
-    named = written(named.join(_shared_sizes(sets), "doc").withColumn("earlier", earlier), "open")
+    named = written(named.join(sizes, "doc", "left").withColumn("earlier", earlier), "open")
     right = named.select("gram", *(F.col(c).alias(f"{c}2") for c in ("doc", "n", "pos", "label", "most", "earlier")))
-    most = F.least("most", "most2", F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))  # nothing before that place is common
+    most = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))  # nothing before that place is common
+    most = F.when(F.col("most").isNotNull() & F.col("most2").isNotNull(), F.least(most, "most", "most2")).otherwise(most)
     fits = (most * (num + den) >= (F.col("n") + F.col("n2")).cast("long") * num) & ~F.arrays_overlap("earlier", "earlier2")
     across = named.join(right, "gram").where((F.col("label") < F.col("label2")) & fits)
     rest = written(_pairs(across, num, den).join(tried, ["a", "b"], "left_anti"), "pairs")
-    found = components(links.union(written(_verified(rest, sets, ratio), "links")))
+    found = components(links.union(written(_verified(rest, written(_sets(docs, n, rest), "sets"), ratio), "links")))
 
     reps = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     out = own.join(reps, ["n", "s1", "s2"], "left")
@@ -300,6 +290,7 @@ def joined(docs: DataFrame, *, n: int = 4, ratio: tuple[int, int] = (85, 100), f
 
 def _shared_sizes(sets: DataFrame) -> DataFrame:
     """(doc, most): how many of a set's n-grams some other of these sets has too."""
+    sets = written(sets, "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
