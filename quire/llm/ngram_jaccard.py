@@ -10,8 +10,10 @@ Jaccard similarity reaches a ratio num/den, compared exactly in integers.
    bitmaps of a fixed size, which are broadcast: an n-gram's rank is the number of its bits, and
    its hash breaks ties. Any common order gives right results; this one keeps what many
    documents share out of the prefixes.
-3. Sets that reach the ratio share an n-gram in their prefixes. Prefix rows are (n-gram, doc,
-   size, position); n-grams in one prefix only are dropped.
+3. Prefixes are COMMON - 1 n-grams longer than one common n-gram asks for, so sets that reach
+   the ratio share COMMON of them (or as many as small sets allow). Prefix rows are (n-gram, doc,
+   size, position). N-grams in one prefix only are dropped, and so are documents that are left
+   with fewer n-grams than any link needs: chance meetings, which grow with the square of the input.
 4. Copies with small edits form large groups that share many n-grams. The first round pairs
    each row with two delegates of its n-gram only, the document whose prefix others share most
    and another by hash, and connects what links. Rows stay whose n-gram joins documents that
@@ -44,13 +46,15 @@ from pyspark.sql import functions as F
 
 from . import _text as T
 from ._graph import components
-from ._store import written
+from ._store import dropped, written
 
 #: Counts that raise an n-gram's rank, and the bits of each level's bitmap.
 LEVELS = (2, 8, 64)
 LEVEL_BITS = 1 << 25
 #: An n-gram with so many open rows makes a large group.
 LARGE = 64
+#: Common n-grams in the prefixes of sets that link.
+COMMON = 8
 #: Bits of the broadcast filter of documents whose sets are needed; others pass it by chance.
 FILTER_BITS = 1 << 23
 
@@ -163,7 +167,8 @@ def _prefixes(docs: DataFrame, n: int, ratio: tuple[int, int], levels: list[byte
                 for bits in bitmaps:
                     rank += (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1
                 order = np.lexsort((values, rank, doc))
-                length = size - -(-num * size // den) + 1  # size - ceil(size * ratio) + 1
+                least = -(-num * size // den)  # ceil(size * ratio), the overlap that a link needs
+                length = size - least + np.minimum(least, COMMON)
                 place = np.arange(len(values)) - np.repeat(at[:-1], size)
                 use = place < np.repeat(length, size)
                 rows = doc[use]
@@ -254,10 +259,17 @@ def joined(docs: DataFrame, *, n: int = 4, ratio: tuple[int, int] = (85, 100)) -
     prefixes = written(_prefixes(docs.where("doc_id IS NOT NULL"), n, ratio, _levels(measured)), "prefixes")
     shared = prefixes.groupBy("gram").agg(F.count("*").alias("rows")).where("rows > 1").select("gram")
     rows = prefixes.join(shared, "gram", "left_semi").join(classes.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi")
-    rows = written(rows, "shared")
+    every = written(rows, "shared")
+    dropped(prefixes)
+    # A partner has at least the ratio of this size, and the smaller of two sets may share fewer than COMMON.
+    needed = F.least(F.lit(COMMON), F.ceil(F.ceil(F.col("n") * num / den) * num / den))
+    enough = every.groupBy("doc", "n").agg(F.count("*").alias("k")).where(F.col("k") >= needed).select("doc")
+    rows = every.join(enough, "doc", "left_semi")
+    rows = written(rows.join(rows.groupBy("gram").agg(F.count("*").alias("rows")).where("rows > 1").select("gram"), "gram", "left_semi"), "shared")
+    dropped(every)
 
     # How much of its prefix a document shares: copies hold n-grams of their own edits, and what they are copies of holds none.
-    share = rows.groupBy("doc", "n").agg(F.count("*").alias("k")).select("doc", (F.col("k") / (F.col("n") - F.ceil(F.col("n") * num / den) + 1)).alias("share"))
+    share = rows.groupBy("doc", "n").agg(F.count("*").alias("k")).select("doc", (F.col("k") / (F.col("n") - F.ceil(F.col("n") * num / den) + COMMON)).alias("share"))
     member = [F.col(c).alias(f"{c}2") for c in ("doc", "n", "pos")]
     picks = rows.join(share, "doc").groupBy("gram").agg(F.min(F.struct((-F.col("share")).alias("h"), *member)).alias("one"), F.min(F.struct(F.xxhash64("doc").cast("double").alias("h"), *member)).alias("two"))
     near = rows.join(picks, "gram").select("doc", "n", "pos", F.inline(F.array_distinct(F.array("one", "two"))))
