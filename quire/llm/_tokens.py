@@ -28,7 +28,9 @@ _MARK = _SOLID & ~_LETTER
 _MARK[ord("'")] = False
 _MARK[48:58] = False
 #: Chunks in a worker's cache at most.
-MOST_CHUNKS = 2_000_000
+MOST_CHUNKS = 1_000_000
+#: Chunks given to the library at once.
+AT_ONCE = 4096
 
 
 def chunk_starts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -149,7 +151,12 @@ def _library(path: str):
 def word_bpe(path: str) -> Chunked:
     """A lower-casing BPE with word ends, whose pattern drops white space."""
     library = _library(path)
-    return Chunked(lambda chunks: [x.ids for x in library.encode_batch_fast(chunks, add_special_tokens=False)], np.uint16 if library.get_vocab_size() <= 1 << 16 else np.uint32, lower=True)
+
+    def encode(chunks: list[str]) -> list[list[int]]:
+        # the library's own results are large, so few are held at once
+        return [x.ids for lo in range(0, len(chunks), AT_ONCE) for x in library.encode_batch_fast(chunks[lo : lo + AT_ONCE], add_special_tokens=False)]
+
+    return Chunked(encode, np.uint16 if library.get_vocab_size() <= 1 << 16 else np.uint32, lower=True)
 
 
 @lru_cache(maxsize=4)
