@@ -17,7 +17,7 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _sent:
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="quire-"), "quire_modules.zip")
+    path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="quire-")), "quire_modules.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
         for folder, _, files in os.walk(root):
             for name in sorted(files):
