@@ -444,6 +444,39 @@ def test_passages_odd_documents(odd_docs, no_docs):
     assert passages.cut(odd_docs, passages.passages(odd_docs)).count() == 14  # of 15 rows, the whole copy goes
 
 
+def covered(found):
+    """(doc_id, place) of all words in passages."""
+    return {(r["doc_id"], k) for r in found for k in range(r["start"], r["end"])}
+
+
+def repeated_by_hand(docs, least=50):
+    """(doc_id, place) of all words in runs of ``least`` words that an earlier document holds."""
+    held, out = set(), set()
+    for key in sorted(docs):
+        grams = [tuple(docs[key][k : k + least]) for k in range(len(docs[key]) - least + 1)]
+        out |= {(key, j) for k, g in enumerate(grams) if g in held for j in range(k, k + least)}
+        held |= set(grams)
+    return out
+
+
+def word_table(spark, docs):
+    return spark.createDataFrame([(k, " ".join(w)) for k, w in docs.items()], "doc_id long, text string")
+
+
+def test_passages_of_runs_of_a_word_or_a_line(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    docs, want = {}, set()
+    for n, size in enumerate((1, 3, 8, 12)):
+        line = [word() for _ in range(size)]
+        for k in range(2):
+            head = [word() for _ in range(20)]
+            docs[2 * n + k] = head + line * (96 // size) + [word() for _ in range(20)]
+        want |= {(2 * n + 1, j) for j in range(20, 20 + 96 // size * size)}
+    found = passages.passages(word_table(spark, docs)).collect()
+    assert want <= covered(found) and len(covered(found) - want) < 10
+
+
 # ---- mixing ----
 
 
