@@ -477,6 +477,32 @@ def test_passages_of_runs_of_a_word_or_a_line(spark):
     assert want <= covered(found) and len(covered(found) - want) < 10
 
 
+def test_passages_whose_pieces_occur_in_earlier_documents(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    docs = {}
+    for n in range(12):
+        passage = [word() for _ in range(98)]
+        for k, piece in enumerate((passage[:49], passage[49:], passage[25:73], passage, passage)):
+            docs[100 * k + n] = [word() for _ in range(20)] + piece + [word() for _ in range(20)]
+    want = {(400 + n, j) for n in range(12) for j in range(20, 118)}
+    assert want == repeated_by_hand(docs)
+    assert want <= covered(passages.passages(word_table(spark, docs)).collect())
+
+
+def test_whole_runs_like_brute_force(spark, texts):
+    rng = random.Random(14)
+    docs = {}
+    for key in range(60):  # few words and short lines, so that seeds recur within documents
+        line = [rng.choice("abc") for _ in range(rng.randint(1, 9))]
+        docs[key] = [w for _ in range(rng.randint(1, 12)) for w in (line * rng.randint(1, 9) if rng.random() < 0.5 else rng.choice([*docs.values(), line])[rng.randint(0, 40) :][: rng.randint(1, 70)])]
+    for table in (docs, {k: WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) for k, t in texts.items()}):
+        found = passages._whole_runs(word_table(spark, table), 50).collect()
+        assert covered(found) == repeated_by_hand(table)
+        assert all(table[r["doc_id"]][r["start"] : r["end"]] == table[r["ref_doc_id"]][r["ref_start"] : r["ref_end"]] and r["ref_doc_id"] < r["doc_id"] for r in found)
+        assert repeated_by_hand(table) <= covered(passages.passages(word_table(spark, table)).collect())
+
+
 # ---- mixing ----
 
 
