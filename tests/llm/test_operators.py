@@ -503,6 +503,21 @@ def test_whole_runs_like_brute_force(spark, texts):
         assert repeated_by_hand(table) <= covered(passages.passages(word_table(spark, table)).collect())
 
 
+@pytest.mark.parametrize(("share", "spread"), [(0.95, False), (0.9, False), (0.85, False), (0.8, False), (0.9, True), (0.8, True)])
+def test_passages_of_edited_words(spark, share, spread):
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    docs, many = {}, 100
+    for n in range(many):
+        passage = [word() for _ in range(50)]
+        other = round(50 * (1 - share))
+        where = set(range(2, 49, 50 // other)) if spread else set(rng.sample(range(1, 49), other))
+        for k, words in enumerate((passage, [word() if j in where else w for j, w in enumerate(passage)])):
+            docs[many * k + n] = [word() for _ in range(30)] + words + [word() for _ in range(30)]
+    found = {r["doc_id"] for r in passages.passages(word_table(spark, docs)).collect() if r["ref_doc_id"] == r["doc_id"] - many and r["start"] < 60 and r["end"] > 50}
+    assert len(found) >= 0.97 * many
+
+
 # ---- mixing ----
 
 
