@@ -9,8 +9,8 @@ probabilities, weighted by their bytes, so whole texts count.
 As the embedding and the filters are linear, what a filter gives for a pair of bytes at one
 place is a look-up in a table of all pairs; four bytes take two look-ups.
 
-Training uses a bounded sample: at most ``sample`` documents with a language, as evenly over
-the languages as they allow, two windows of each. Held-out rows, and rows without doc_id, text
+Training uses a bounded sample of every language: at most ``sample`` documents in all, as evenly
+over the languages as they allow, or EACH of a language where these are more; two windows of each. Held-out rows, and rows without doc_id, text
 or language, teach nothing. Defined results: a text that is null or has no letter is ``und``
 with score 0; repeated rows are judged alike; without any row to learn from, all are ``und``;
 only text is an input of a prediction, and other columns are ignored.
@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
@@ -33,6 +33,8 @@ WIDTHS = (2, 3, 4)
 FILTERS = 12
 EMBEDDING = 8
 UNKNOWN = "und"
+#: Documents of each language to learn from, however many languages there are.
+EACH = 32
 
 
 @dataclass
@@ -151,22 +153,24 @@ def held_out(of: int = 4, rest: int = 2) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % of == rest, F.lit(False))
 
 
-def fit(docs: DataFrame, *, sample: int = 6000, most_languages: int = 64) -> Model | None:
-    """A network from at most ``sample`` rows, spread over at most ``most_languages`` languages."""
+def fit(docs: DataFrame, *, sample: int = 6000) -> Model | None:
+    """A network of all languages, from at most ``sample`` rows, or EACH of a language if these are more."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out())
-    sizes = [(r["lang"], r["count"]) for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()]
+    sizes = [(r["lang"], r["count"]) for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
     if not sizes:
         return None
     # A hash bound for each language that lets about an equal number of its rows through.
-    each = sample / len(sizes)
-    bound = F.create_map(*(F.lit(x) for name, n in sizes for x in (name, min(1.0, 1.2 * each / n))))
+    each = max(sample // len(sizes), EACH)
+    bounds = docs.sparkSession.createDataFrame([(name, min(1.0, 1.2 * each / n)) for name, n in sizes], "lang string, bound double")
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    picked = rows.where(share < F.element_at(bound, F.col("lang"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    picked = rows.join(F.broadcast(bounds), "lang").where(share < F.col("bound")).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= each)
     room = F.greatest(F.length("text") - LENGTH, F.lit(1))
     place = F.pmod(F.xxhash64("doc_id", F.lit(1)), room).cast("int") + 1
     got = picked.select("lang", F.substring("text", 1, LENGTH + 3).alias("a"), F.col("text").substr(place, F.lit(LENGTH + 3)).alias("b")).collect()
     languages = sorted(name for name, _ in sizes)
-    raw = [(x.encode()[: LENGTH + 3], languages.index(r["lang"])) for r in sorted(got) for x in (r["a"], r["b"])]
+    number = {name: k for k, name in enumerate(languages)}
+    raw = [(x.encode()[: LENGTH + 3], number[r["lang"]]) for r in sorted(got) for x in (r["a"], r["b"])]
     windows = np.zeros((len(raw), LENGTH + 3), np.uint8)
     for k, (x, _) in enumerate(raw):
         windows[k, : len(x)] = np.frombuffer(x, np.uint8)

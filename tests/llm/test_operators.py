@@ -100,6 +100,18 @@ def test_language_held_out(documents, odd_docs, no_docs):
     assert {r["lang_pred"] for r in language_id.predict(odd_docs, None).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(16)
+    rows = []
+    for k in range(70):  # letters of its own for each; the last six have the fewest documents
+        letters = [chr(0x4E00 + 40 * k + j) for j in range(4)]
+        rows += [(1000 * k + j, " ".join("".join(rng.choices(letters, k=3)) for _ in range(20)), f"l{k:02}") for j in range(40 if k < 64 else 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    found = language_id.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where("doc_id >= 64000").toPandas()
+    assert model.languages == [f"l{k:02}" for k in range(70)] and (found.lang == found.lang_pred).mean() > 0.9
+
+
 def test_language_uses_whole_texts_and_no_neighbours(documents):
     model = language_id.fit(documents)
     scorer = language_id.Scorer(model)
