@@ -27,7 +27,7 @@ Jaccard similarity reaches a ratio num/den, compared exactly in integers.
    split both sets. Sets are computed anew from the texts of documents in pairs only.
 
 So the components are those of all links, although links inside a component that is already
-known need not be tried.
+known need not be tried. :func:`links` tries them all and gives each link itself.
 
 Defined results: without words or text a document has no shingles, is linked with nothing
 and is its own component; fewer than n words are one shingle; rows that repeat a doc_id are
@@ -300,6 +300,22 @@ def joined(docs: DataFrame, *, n: int = 4, ratio: tuple[int, int] = (85, 100)) -
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(some, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.when(some, F.col("rep")).otherwise(F.col("doc_id")).alias("class_id"))
 
 
+def links(docs: DataFrame, *, n: int = 4, ratio: tuple[int, int] = (85, 100)) -> DataFrame:
+    """(a, b): every link of two classes of equal sets, by their smallest doc_ids, a < b.
+
+    All pairs within a component are tried, so a large group of edited copies takes as many rows as it has pairs.
+    With the class_id of :func:`joined`, these are the links of all documents; those of one class link too.
+    """
+    num, den = ratio
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
+    measured = written(_measured(docs, n), "measured")
+    reps = measured.where("gram IS NULL AND n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc")).select("doc").distinct()
+    prefixes = written(_prefixes(docs, n, ratio, _levels(measured)).join(reps, "doc", "left_semi"), "prefixes")
+    other = prefixes.select("gram", *(F.col(c).alias(f"{c}2") for c in ("doc", "n", "pos")))
+    tried = written(_pairs(prefixes.join(other, "gram").where("doc < doc2"), num, den), "pairs")
+    return _verified(tried, written(_sets(docs, n, tried), "sets"), ratio).distinct()
+
+
 def _shared_sizes(sets: DataFrame) -> DataFrame:
     """(doc, most): how many of a set's n-grams some other of these sets has too."""
     sets = written(sets, "sets")

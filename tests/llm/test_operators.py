@@ -385,6 +385,27 @@ def test_jaccard_components_of_edited_copies(spark, n, ratio):
     assert got == {k: (len(sets[k]), want[k]) for k in texts}
 
 
+@pytest.mark.parametrize(("n", "ratio"), [(4, (85, 100)), (2, (50, 100))])
+def test_jaccard_links_of_edited_copies(spark, odd_docs, no_docs, n, ratio):
+    rng = random.Random(20 + n)
+    texts = {}
+    for _ in range(6):
+        base = [f"w{rng.randrange(300)}" for _ in range(rng.randint(3, 90))]
+        for _ in range(12):
+            some = rng.choices(range(len(base)), k=rng.randint(0, 1))
+            texts[len(texts)] = " ".join(f"w{rng.randrange(300)}" if j in some else w for j, w in enumerate(base))
+    found = ngram_jaccard.links(spark.createDataFrame(list(texts.items()), "doc_id int, text string"), n=n, ratio=ratio).collect()
+    sets = sets_by_hand(texts, n)
+    reps = {}
+    for key in sorted(sets):
+        reps.setdefault(frozenset(sets[key]), key)
+    keys = sorted(reps.values())
+    common = {(a, b): len(sets[a] & sets[b]) for a in keys for b in keys if a < b}
+    want = {(a, b) for (a, b), c in common.items() if ratio[1] * c >= ratio[0] * (len(sets[a]) + len(sets[b]) - c)}
+    assert sorted((r["a"], r["b"]) for r in found) == sorted(want) and len(want) > 10
+    assert [(r["a"], r["b"]) for r in ngram_jaccard.links(odd_docs).orderBy("a").collect()] == [(5, 7), (8, 9)] and ngram_jaccard.links(no_docs).count() == 0
+
+
 def test_jaccard_odd_documents(odd_docs, no_docs):
     rows = ngram_jaccard.joined(odd_docs).collect()
     found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows}
