@@ -3,25 +3,43 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where it is unset (tests), one below the warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/shared").rstrip("/")
 
 
+@contextmanager
+def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside go when it ends: nothing reads them once its table is written."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, computed once: written as Parquet to the shared folder and read again.
 
     A lost executor costs no more than the running stage, and later steps read the table
-    instead of computing it again.
+    instead of computing it again. The shuffle files behind it are freed.
     """
     spark = df.sparkSession
     path = f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _shuffles_freed(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out

@@ -3,28 +3,27 @@
 A document's set holds the hashes of its distinct word n-grams. Two sets link when their
 Jaccard similarity reaches a ratio num/den, compared exactly in integers.
 
-1. Sets are measured in one pass: size and a 128-bit signature. Documents of equal sets are a
-   class, and its smallest doc_id stands for it.
-2. The n-grams' order puts rare ones first. Each batch of documents reports the n-grams that it
-   sees twice or more, and those whose counts over all batches reach each of LEVELS are set in
-   bitmaps of a fixed size, which are broadcast: an n-gram's rank is the number of its bits, and
-   its hash breaks ties. Any common order gives right results; this one keeps what many
-   documents share out of the prefixes.
-3. Prefixes are COMMON - 1 n-grams longer than one common n-gram asks for, so sets that reach
-   the ratio share COMMON of them (or as many as small sets allow). Prefix rows are (n-gram, doc,
-   size, position). N-grams in one prefix only are dropped, and so are documents that are left
-   with fewer n-grams than any link needs: chance meetings, which grow with the square of the input.
+1. Counts: batches of documents send the distinct n-grams of their sets to buckets by hash, with the
+   number of sets that hold each, and get the totals of all batches back (``_exchange``). An n-gram is one entry
+   per batch, so none is hot. Documents of equal sets are a class, and its smallest doc_id stands for it:
+   a batch sends no more than one set of a class.
+2. The order is rare-first by these exact counts, hashes break ties. Prefixes are COMMON - 1 n-grams
+   longer than one common n-gram asks for, so sets that reach the ratio share COMMON of them (or as
+   many as small sets allow). N-grams that one set holds meet nothing and need no row, and a
+   document left with fewer n-grams than any link needs has none: most documents that are
+   like no other end here, before any join.
+3. Prefix rows are (n-gram, doc, size, position); those of class representatives stay, and again only n-grams in two
+   prefixes or more and documents with enough of them.
 4. Copies with small edits form large groups that share many n-grams. The first round pairs
    each row with two delegates of its n-gram only, the document whose prefix others share most
    and another by hash, and connects what links. Rows stay whose n-gram joins documents that
-   are not connected. For the documents of large groups, n-grams that no other of these has are
-   counted, as an overlap of two of them can hold none. The second round joins the rows of one
+   are not connected. For documents that share n-grams with others not connected to them, n-grams that no other
+   of these has are counted, as an overlap of two of them can hold none. The second round joins the rows of one
    n-gram and two components, so a group that is connected makes no pairs, an edited copy too
    far from all others of its group makes none with them, and every pair that could still
    connect components is tried.
-5. A pair is made once, at the first n-gram that both prefixes have, passes the length and
-   positional filters there, and is verified against whole sets, after a suffix filter that bounds the overlap by how probes
-   split both sets. Sets are computed anew from the texts of documents in pairs only.
+5. A pair passes the length and positional filters, and is verified once against whole sets, after a
+   suffix filter that bounds the overlap by how probes split both sets.
 
 So the components are those of all links, although links inside a component that is already
 known need not be tried. :func:`links` tries them all and gives each link itself.
@@ -41,22 +40,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import _exchange as X
 from . import _text as T
 from ._graph import components
 from ._store import dropped, written
 
-#: Counts that raise an n-gram's rank, and the bits of each level's bitmap.
-LEVELS = (2, 8, 64)
-LEVEL_BITS = 1 << 25
-#: An n-gram with so many open rows makes a large group.
-LARGE = 64
 #: Common n-grams in the prefixes of sets that link.
 COMMON = 8
-#: Bits of the broadcast filter of documents whose sets are needed; others pass it by chance.
-FILTER_BITS = 1 << 23
 
 
 def sets_of(piece: T.Piece, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,86 +89,82 @@ def _signatures(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out[0], out[1]
 
 
-MEASURED = "doc_id long, n long, s1 long, s2 long, gram long, seen long"
-
-
-def _measured(docs: DataFrame, n: int) -> DataFrame:
-    """A row for each document (gram null), and one for each n-gram that a batch saw twice or more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "n", "s1", "s2", "gram", "seen")])
-
-        def rows(found: dict[str, pa.Array]) -> pa.RecordBatch:
-            size = len(next(iter(found.values())))
-            return pa.RecordBatch.from_arrays([found.get(f.name, pa.nulls(size, pa.int64())) for f in schema], schema=schema)
-
-        for batch in batches:
-            kept, known = [], set()
-            for piece in T.pieces(batch.column("text")):
-                values, at = sets_of(piece, n)
-                s1, s2 = _signatures(values, at)
-                yield rows({"doc_id": batch.column("doc_id").slice(piece.lo, piece.docs), "n": pa.array(np.diff(at)), "s1": pa.array(s1), "s2": pa.array(s2)})
-                fresh = np.zeros(piece.docs, bool)
-                for k, sign in enumerate(zip(s1.tolist(), s2.tolist(), strict=True)):  # copies in a batch count once
-                    fresh[k] = sign not in known
-                    known.add(sign)
-                kept.append(values[np.repeat(fresh, np.diff(at))])
-            if kept:
-                ordered = np.concatenate(kept)
-                ordered.sort()
-                first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
-                seen = np.diff(np.append(first, len(ordered)))
-                yield rows({"gram": pa.array(ordered[first[seen >= 2]].view(np.int64)), "seen": pa.array(seen[seen >= 2])})
-
-    return docs.mapInArrow(run, MEASURED)
-
-
-def _bitmap(rows: DataFrame, by: list[str], place: Column, bits: int) -> dict[tuple, bytes]:
-    """A bitmap of the places of the rows of each value of ``by``."""
-    each = 8 * 4096
-    placed = rows.select(*by, (place + 1).alias("p"))  # Spark's bitmaps count from 1
-    found = placed.groupBy(*by, F.bitmap_bucket_number("p").alias("_k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bits")).collect()
-    out: dict[tuple, bytearray] = {}
-    for r in found:
-        whole = out.setdefault(tuple(r[c] for c in by), bytearray(bits // 8 + each // 8))
-        lo = (r["_k"] - 1) * each // 8
-        whole[lo : lo + len(r["_bits"])] = r["_bits"]
-    return {k: bytes(v) for k, v in out.items()}
-
-
-def _levels(measured: DataFrame) -> list[bytes]:
-    """Bitmaps of the n-grams whose counts reach each of LEVELS."""
-    counts = measured.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("seen").alias("seen"))
-    reached = counts.select("gram", F.explode(F.filter(F.array(*map(F.lit, LEVELS)), lambda v: v <= F.col("seen"))).alias("level"))
-    found = _bitmap(reached, ["level"], F.pmod("gram", F.lit(LEVEL_BITS)), LEVEL_BITS)
-    return [found[k] for k in sorted(found)]
-
-
-def _prefixes(docs: DataFrame, n: int, ratio: tuple[int, int], levels: list[bytes]) -> DataFrame:
-    """Prefix rows of each document: its first n-grams in the common order."""
+MEASURED = "doc_id long, n long, s1 long, s2 long, values binary, gram long, pos int"
+_MEASURED = pa.schema([*((c, pa.int64()) for c in ("doc_id", "n", "s1", "s2")), ("values", pa.binary()), ("gram", pa.int64()), ("pos", pa.int32())])
+
+
+class _Sets:
+    """The sets of a batch: of each row its size and signature, and the sets of those that may stand for a class."""
+
+    def __init__(self, table: pa.Table, n: int):
+        ids = table.column("doc_id")
+        self.values, sizes, s1, s2 = [], [], [], []
+        for piece in T.pieces(table.column("text")):
+            values, at = sets_of(piece, n)
+            one, two = _signatures(values, at)
+            sizes.append(np.diff(at))
+            s1.append(one)
+            s2.append(two)
+            self.values += [values[at[k] : at[k + 1]] for k in range(piece.docs)]
+        none = np.zeros(0, np.int64)
+        self.n, self.s1, self.s2 = (np.concatenate(c) if c else none for c in (sizes, s1, s2))
+        known: dict[tuple, tuple] = {}  # of equal sets, the row of the smallest doc_id
+        for k, (doc, key) in enumerate(zip(ids.to_pylist(), zip(self.n.tolist(), self.s1.tolist(), self.s2.tolist(), strict=True), strict=True)):
+            if doc is not None and key[0] and (key not in known or doc < known[key][0]):
+                known[key] = (doc, k)
+        self.rows = np.array(sorted(k for _, k in known.values()), np.int64)
+        whole = np.concatenate([self.values[k] for k in self.rows]) if len(self.rows) else np.zeros(0, np.uint64)
+        self.size = self.n[self.rows]
+        self.distinct, self.place, self.count = np.unique(whole, return_inverse=True, return_counts=True)
+        self.whole = whole
+
+
+def _measured(docs: DataFrame, n: int, ratio: tuple[int, int]) -> DataFrame:
+    """A row for each document (gram null), with the whole set of those that have rows for n-grams of their prefix."""
     num, den = ratio
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmaps = [np.frombuffer(b, np.uint8) for b in shared.value]
-        for batch in batches:
-            for piece in T.pieces(batch.column("text")):
-                values, at = sets_of(piece, n)
-                size, doc = np.diff(at), T.doc_of(at)
-                bit = (values & np.uint64(LEVEL_BITS - 1)).astype(np.int64)
-                rank = np.zeros(len(values), np.uint8)
-                for bits in bitmaps:
-                    rank += (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1
-                order = np.lexsort((values, rank, doc))
-                least = -(-num * size // den)  # ceil(size * ratio), the overlap that a link needs
-                length = size - least + np.minimum(least, COMMON)
-                place = np.arange(len(values)) - np.repeat(at[:-1], size)
-                use = place < np.repeat(length, size)
-                rows = doc[use]
-                ids = batch.column("doc_id").slice(piece.lo, piece.docs)
-                yield pa.RecordBatch.from_arrays([pa.array(values[order][use].view(np.int64)), ids.take(pa.array(rows)), pa.array(size[rows].astype(np.int32)), pa.array(place[use].astype(np.int32))], ["gram", "doc", "n", "pos"])
-
-    return docs.mapInArrow(run, "gram long, doc long, n int, pos int")
+    buckets = X.Buckets(X.text_bytes(docs))
+    spare = np.uint64(64 - 52)
+
+    def send(table: pa.Table) -> list[tuple[int, bytes]]:
+        found = _Sets(table, n)
+        kept, count = buckets.kept_of(found.distinct << spare), found.count.astype("<u4")
+        return [(k, X.packed(X.deltas(kept[lo:hi]), count[lo:hi])) for k, lo, hi in buckets.parts(kept)]
+
+    def answer(rows: list[bytes]) -> list[bytes]:
+        parts = [X.unpacked(r, "<u8", "<u4") for r in rows]
+        every, count = np.concatenate([X.from_deltas(h) for h, _ in parts]), np.concatenate([c for _, c in parts]).astype(np.int64)
+        order = np.argsort(every)
+        first = np.append(True, np.diff(every[order]) != 0)
+        total = np.minimum(np.add.reduceat(count[order], np.flatnonzero(first)), 2**32 - 1)
+        out = np.empty(len(every), "<u4")
+        out[order] = total[np.cumsum(first) - 1]
+        return [X.packed(part) for part in np.split(out, np.cumsum([len(h) for h, _ in parts])[:-1])]
+
+    def take(table: pa.Table, answers: dict[int, bytes]) -> pa.Table:
+        found, ids = _Sets(table, n), table.column("doc_id").combine_chunks()
+        total = np.zeros(len(found.distinct), np.int64)
+        for k, lo, hi in buckets.parts(buckets.kept_of(found.distinct << spare)):
+            total[lo:hi] = X.unpacked(answers[k], "<u4")[0]
+        at = np.append(0, np.cumsum(found.size))
+        doc, rank = T.doc_of(at), total[found.place]
+        order = np.lexsort((found.whole, rank, doc))
+        least = -(-num * found.size // den)  # ceil(size * ratio), the overlap that a link needs
+        length = found.size - least + np.minimum(least, COMMON)
+        place = np.arange(len(doc)) - at[:-1][doc]
+        use = (place < length[doc]) & (rank[order] > 1)
+        # A partner has at least the ratio of this size, and the smaller of two sets may share fewer than COMMON.
+        enough = T.per_doc(use, at) >= np.minimum(COMMON, -(-num * least // den))
+        use &= enough[doc]
+        values = [None] * len(ids)
+        for k in found.rows[enough].tolist():
+            values[k] = found.values[k].astype("<u8").tobytes()
+        own = {"doc_id": ids, "n": pa.array(found.n, pa.int64()), "s1": pa.array(found.s1, pa.int64()), "s2": pa.array(found.s2, pa.int64()), "values": pa.array(values, pa.binary())}
+        rows = found.rows[doc[use]]
+        prefix = {"doc_id": ids.take(pa.array(rows)), "n": pa.array(found.n[rows], pa.int64()), "gram": pa.array(found.whole[order][use].view(np.int64)), "pos": pa.array(place[use].astype(np.int32))}
+        tables = [pa.Table.from_arrays([part[f.name].cast(f.type) if f.name in part else pa.nulls(len(part["n"]), f.type) for f in _MEASURED], schema=_MEASURED) for part in (own, prefix)]
+        return pa.concat_tables(tables)
+
+    return X.round_trip(docs, buckets, send, answer, take, MEASURED)
 
 
 def _may_link(num: int, den: int) -> Column:
@@ -209,30 +198,6 @@ def reaches(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * common >= num * (len(a) + len(b) - common)
 
 
-def _needed(pairs: DataFrame) -> bytes:
-    """A bitmap of the hashed documents in pairs, of FILTER_BITS bits."""
-    rows = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    return _bitmap(rows, [], F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS)), FILTER_BITS).get((), bytes(FILTER_BITS // 8 + 4096))
-
-
-def _sets(docs: DataFrame, n: int, pairs: DataFrame) -> DataFrame:
-    """(doc, values) of the documents in pairs, and of a few others."""
-    bits = _needed(pairs)
-    hashed = docs.withColumn("p", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = np.frombuffer(bits, np.uint8)
-        for batch in batches:
-            p = batch.column("p").to_numpy()
-            few = batch.take(pa.array(np.flatnonzero((have[p >> 3] >> (p & 7)) & 1)))
-            for piece in T.pieces(few.column("text")):
-                values, at = sets_of(piece, n)
-                rows = [values[at[k] : at[k + 1]].astype("<u8").tobytes() for k in range(piece.docs)]
-                yield pa.RecordBatch.from_arrays([few.column("doc_id").slice(piece.lo, piece.docs), pa.array(rows, pa.binary())], ["doc", "values"])
-
-    return hashed.mapInArrow(run, "doc long, values binary")
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, ratio: tuple[int, int]) -> DataFrame:
     """Those of the pairs (a, b) that link."""
     num, den = ratio
@@ -248,25 +213,31 @@ def _verified(pairs: DataFrame, sets: DataFrame, ratio: tuple[int, int]) -> Data
     return with_two.select("a", "b", "one", "two").mapInArrow(run, "a long, b long")
 
 
+def _candidates(measured: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Classes of equal sets (n, s1, s2, rep), and prefix rows (doc, n, gram, pos) of their representatives that may meet a partner."""
+    classes = written(measured.where("gram IS NULL AND n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
+    prefixes = measured.where("gram IS NOT NULL").select(F.col("doc_id").alias("doc"), "n", "gram", "pos")
+    every = written(prefixes.join(classes.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi"), "prefixes")
+    twice = every.groupBy("gram").agg(F.count("*").alias("rows")).where("rows > 1").select("gram")
+    some = written(every.join(twice, "gram", "left_semi"), "shared")
+    needed = F.least(F.lit(COMMON), F.ceil(F.ceil(F.col("n") * num / den) * num / den))
+    enough = some.groupBy("doc", "n").agg(F.count("*").alias("k")).where(F.col("k") >= needed).select("doc")
+    rows = written(some.join(enough, "doc", "left_semi"), "rows")
+    dropped(every, some)
+    return classes, rows
+
+
+def _sets(measured: DataFrame) -> DataFrame:
+    return measured.where("values IS NOT NULL").select(F.col("doc_id").alias("doc"), "values")
+
+
 def joined(docs: DataFrame, *, n: int = 4, ratio: tuple[int, int] = (85, 100)) -> DataFrame:
     """doc_id, n_shingles, component_id and class_id (the smallest doc_id of an equal set) for each row of docs."""
     num, den = ratio
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    measured = written(_measured(docs, n), "measured")
-    own = measured.where("gram IS NULL").select("doc_id", "n", "s1", "s2")
-    classes = written(own.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
-
-    prefixes = written(_prefixes(docs.where("doc_id IS NOT NULL"), n, ratio, _levels(measured)), "prefixes")
-    shared = prefixes.groupBy("gram").agg(F.count("*").alias("rows")).where("rows > 1").select("gram")
-    rows = prefixes.join(shared, "gram", "left_semi").join(classes.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi")
-    every = written(rows, "shared")
-    dropped(prefixes)
-    # A partner has at least the ratio of this size, and the smaller of two sets may share fewer than COMMON.
-    needed = F.least(F.lit(COMMON), F.ceil(F.ceil(F.col("n") * num / den) * num / den))
-    enough = every.groupBy("doc", "n").agg(F.count("*").alias("k")).where(F.col("k") >= needed).select("doc")
-    rows = every.join(enough, "doc", "left_semi")
-    rows = written(rows.join(rows.groupBy("gram").agg(F.count("*").alias("rows")).where("rows > 1").select("gram"), "gram", "left_semi"), "shared")
-    dropped(every)
+    measured = written(_measured(docs, n, ratio), "measured")
+    classes, rows = _candidates(measured, num, den)
+    sets = _sets(measured)
 
     # How much of its prefix a document shares: copies hold n-grams of their own edits, and what they are copies of holds none.
     share = rows.groupBy("doc", "n").agg(F.count("*").alias("k")).select("doc", (F.col("k") / (F.col("n") - F.ceil(F.col("n") * num / den) + COMMON)).alias("share"))
@@ -274,30 +245,30 @@ def joined(docs: DataFrame, *, n: int = 4, ratio: tuple[int, int] = (85, 100)) -
     picks = rows.join(share, "doc").groupBy("gram").agg(F.min(F.struct((-F.col("share")).alias("h"), *member)).alias("one"), F.min(F.struct(F.xxhash64("doc").cast("double").alias("h"), *member)).alias("two"))
     near = rows.join(picks, "gram").select("doc", "n", "pos", F.inline(F.array_distinct(F.array("one", "two"))))
     tried = written(_pairs(near, num, den), "pairs")
-    links = written(_verified(tried, written(_sets(docs, n, tried), "sets"), ratio), "links")
+    links = written(_verified(tried, sets, ratio), "links")
 
     labels = components(links).select(F.col("node").alias("doc"), F.col("component").alias("label"))
     named = written(rows.join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc")), "named")
     parts = named.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("gram")
-    named = written(named.join(parts, "gram", "left_semi"), "open")
-    large = named.groupBy("gram").agg(F.count("*").alias("k")).where(F.col("k") >= LARGE).select("gram")
-    crowd = written(named.join(large, "gram", "left_semi").select("doc").distinct(), "crowd")
-    sizes = _shared_sizes(_sets(docs, n, crowd.select(F.col("doc").alias("a"), F.col("doc").alias("b"))).join(crowd, "doc", "left_semi"))
-    # A pair is made at the first n-gram that both prefixes have: each row knows those before it.
-    earlier = F.collect_list("gram").over(Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
-    named = written(named.join(sizes, "doc", "left").withColumn("earlier", earlier), "open")
-    right = named.select("gram", *(F.col(c).alias(f"{c}2") for c in ("doc", "n", "pos", "label", "most", "earlier")))
-    most = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))  # nothing before that place is common
-    most = F.when(F.col("most").isNotNull() & F.col("most2").isNotNull(), F.least(most, "most", "most2")).otherwise(most)
-    fits = (most * (num + den) >= (F.col("n") + F.col("n2")).cast("long") * num) & ~F.arrays_overlap("earlier", "earlier2")
-    across = named.join(right, "gram").where((F.col("label") < F.col("label2")) & fits)
+    crowd = written(named.join(parts, "gram", "left_semi"), "open")
+    sizes = _shared_sizes(sets.join(crowd.select("doc").distinct(), "doc", "left_semi"))
+    # A document stays if what others of these hold of it is enough for a link with a set of its own size or smaller.
+    likely = sizes.where(F.col("most") * (num + den) >= F.ceil(F.col("n") * (num + den) * num / den)).drop("n")
+    left = written(crowd.join(likely, "doc"), "open")
+    right = left.select("gram", *(F.col(c).alias(f"{c}2") for c in ("doc", "n", "pos", "label", "most")))
+    most = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"), "most", "most2")
+    fits = most * (num + den) >= (F.col("n") + F.col("n2")).cast("long") * num
+    across = left.join(right, "gram").where((F.col("label") < F.col("label2")) & fits)
     rest = written(_pairs(across, num, den).join(tried, ["a", "b"], "left_anti"), "pairs")
-    found = components(links.union(written(_verified(rest, written(_sets(docs, n, rest), "sets"), ratio), "links")))
+    found = components(links.union(written(_verified(rest, sets, ratio), "links")))
 
+    own = measured.where("gram IS NULL").select("doc_id", "n", "s1", "s2")
     reps = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     out = own.join(reps, ["n", "s1", "s2"], "left")
     some = (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(some, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.when(some, F.col("rep")).otherwise(F.col("doc_id")).alias("class_id"))
+    result = written(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(some, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.when(some, F.col("rep")).otherwise(F.col("doc_id")).alias("class_id")), "joined")
+    dropped(measured, classes, rows, tried, links, named, crowd, left, rest)
+    return result
 
 
 def links(docs: DataFrame, *, n: int = 4, ratio: tuple[int, int] = (85, 100)) -> DataFrame:
@@ -307,17 +278,16 @@ def links(docs: DataFrame, *, n: int = 4, ratio: tuple[int, int] = (85, 100)) ->
     With the class_id of :func:`joined`, these are the links of all documents; those of one class link too.
     """
     num, den = ratio
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-    measured = written(_measured(docs, n), "measured")
-    reps = measured.where("gram IS NULL AND n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc")).select("doc").distinct()
-    prefixes = written(_prefixes(docs, n, ratio, _levels(measured)).join(reps, "doc", "left_semi"), "prefixes")
-    other = prefixes.select("gram", *(F.col(c).alias(f"{c}2") for c in ("doc", "n", "pos")))
-    tried = written(_pairs(prefixes.join(other, "gram").where("doc < doc2"), num, den), "pairs")
-    return _verified(tried, written(_sets(docs, n, tried), "sets"), ratio).distinct()
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    measured = written(_measured(docs, n, ratio), "measured")
+    _, rows = _candidates(measured, num, den)
+    other = rows.select("gram", *(F.col(c).alias(f"{c}2") for c in ("doc", "n", "pos")))
+    tried = written(_pairs(rows.join(other, "gram").where("doc < doc2"), num, den), "pairs")
+    return _verified(tried, _sets(measured), ratio).distinct()
 
 
 def _shared_sizes(sets: DataFrame) -> DataFrame:
-    """(doc, most): how many of a set's n-grams some other of these sets has too."""
+    """(doc, n, most): of a set's n n-grams, how many some other of these sets has too."""
     sets = written(sets, "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,7 +299,7 @@ def _shared_sizes(sets: DataFrame) -> DataFrame:
 
     grams = sets.mapInArrow(run, "doc long, gram long")
     alone = grams.groupBy("gram").agg(F.count("*").alias("k"), F.min("doc").alias("doc")).where("k = 1").groupBy("doc").agg(F.count("*").alias("alone"))
-    return sets.select("doc", (F.octet_length("values") / 8).cast("long").alias("size")).join(alone, "doc", "left").select("doc", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("most"))
+    return sets.select("doc", (F.octet_length("values") / 8).cast("long").alias("n")).join(alone, "doc", "left").select("doc", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
 
 
 def _pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
