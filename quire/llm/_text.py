@@ -8,6 +8,8 @@ PIECE bytes, which bounds memory; one text longer than that is a piece of its ow
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,11 +17,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE = 2_000_000
+PIECE = 1_000_000
 #: A piece has at most so many documents, so that an index into it fits in KEY_BITS.
 MOST_DOCS = 4096
 KEY_BITS = np.uint64(52)
 
+# A worker lives on after its stage: what it frees goes back to the system instead of staying in its heap.
+with contextlib.suppress(OSError, AttributeError):
+    ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+pa.set_memory_pool(pa.system_memory_pool())
+
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
