@@ -8,7 +8,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: shuffle files of what runs go when it ends, as nothing reads them once the table is
+#: there; and small tables get few files, by their size and not by the number of cores.
+_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
 
 
 def shared(spark: SparkSession) -> str:
@@ -20,14 +22,15 @@ def shared(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of what runs inside go when it ends: nothing reads them once its table is written."""
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+def _settings(spark: SparkSession) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in _SETTINGS}
+    for k, v in _SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -38,7 +41,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
-    with _shuffles_freed(spark):
+    with _settings(spark):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
