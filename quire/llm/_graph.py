@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ._store import dropped, written
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, component): for each node of the links (a, b), the smallest node it reaches.
 
     Alternates two kinds of contraction: every node hands its larger neighbours, and then its
@@ -20,7 +20,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     # A linked node that equals itself carries no news.
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -32,7 +32,5 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("the links did not settle")
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.union(stars.select("component", "component").distinct())

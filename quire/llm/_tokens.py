@@ -4,12 +4,13 @@ Both tokenizers first split a text with a pattern, and merges never cross its bo
 bounds show in the bytes alone: before white space that follows a visible character, and
 between an ASCII letter and a punctuation mark other than the apostrophe. Texts are cut
 there, each distinct chunk is given to the library once, and the ids of a batch are gathered
-from the cache. The cache of a worker holds a bounded number of chunks and starts anew when full.
+from the cache. The cache of a worker holds a bounded number of chunks and ids and starts anew when full.
+
+As the vocabularies' own description asks for, strings of special tokens in a text are ordinary text.
 """
 
 from __future__ import annotations
 
-import json
 import os
 from functools import lru_cache
 from itertools import chain
@@ -29,6 +30,8 @@ _MARK[ord("'")] = False
 _MARK[48:58] = False
 #: Chunks in a worker's cache at most.
 MOST_CHUNKS = 1_000_000
+#: Ids in it at most, beside those of the piece at hand.
+MOST_IDS = 8_000_000
 #: Chunks given to the library at once.
 AT_ONCE = 4096
 
@@ -40,7 +43,12 @@ def chunk_starts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     if n > 1:
         before, here = data[:-1], data[1:]
         solid = _SOLID[before]
-        solid[1:] |= (data[:-2] == 0xC3) & ((before[1:] & 0xC0) == 0x80)  # the letters and signs U+00C0 to U+00FF
+        # The last byte of a character of two, three or four bytes. No white space begins with these bytes: they are
+        # all but C2, E1, E2 and E3.
+        tail = (before & 0xC0) == 0x80
+        solid[1:] |= tail[1:] & (data[:-2] >= 0xC3) & (data[:-2] <= 0xDF)
+        solid[2:] |= tail[2:] & ((data[:-3] == 0xE0) | ((data[:-3] >= 0xE4) & (data[:-3] <= 0xEF)))
+        solid[3:] |= tail[3:] & (data[:-4] >= 0xF0)
         cut[1:] = (T.SEPARATOR[here] & solid) | (_MARK[here] & _LETTER[before])
     cut[at[:-1][at[:-1] < n]] = True
     return np.flatnonzero(cut)
@@ -121,7 +129,7 @@ class Chunked:
         at = np.append(at, len(begin))
         h = T.Hashes(data).of(begin, end)
         h[h == 0] = 1
-        if self.cache.n > MOST_CHUNKS:
+        if self.cache.n > MOST_CHUNKS or self.cache.n_ids > MOST_IDS:
             self.cache = _Cache(self.dtype)
         place = self.cache.find(h)
         miss = np.flatnonzero(place < 0)
@@ -147,41 +155,23 @@ def _library(path: str):
     return found
 
 
-@lru_cache(maxsize=4)
-def word_bpe(path: str) -> Chunked:
-    """A lower-casing BPE with word ends, whose pattern drops white space."""
+def _chunked(path: str, lower: bool) -> Chunked:
     library = _library(path)
 
     def encode(chunks: list[str]) -> list[list[int]]:
         # the library's own results are large, so few are held at once
         return [x.ids for lo in range(0, len(chunks), AT_ONCE) for x in library.encode_batch_fast(chunks[lo : lo + AT_ONCE], add_special_tokens=False)]
 
-    return Chunked(encode, np.uint16 if library.get_vocab_size() <= 1 << 16 else np.uint32, lower=True)
+    return Chunked(encode, np.uint16 if library.get_vocab_size() <= 1 << 16 else np.uint32, lower=lower)
 
 
 @lru_cache(maxsize=4)
-def byte_bpe(path: str) -> Chunked:
-    """A byte-level BPE. The file's vocabulary, in order of its ids, gives the merge ranks of
-    a faster encoder, used for chunks of ASCII and Latin letters; the library does the others."""
-    import tiktoken
-
-    with open(path, encoding="utf-8") as f:
-        vocabulary = json.load(f)["model"]["vocab"]
-    # A byte-level vocabulary writes bytes that are no visible Latin-1 character as U+0100 and on.
-    shown = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
-    character = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
-    ranks = {bytes(map(character.__getitem__, t)): i for t, i in vocabulary.items() if all(c in character for c in t) and t != "<|endoftext|>"}
-    library = _library(path)
-    # The split of byte-level BPE: a fixed pattern of the public vocabulary.
-    pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-    fast = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+def word_bpe(path: str) -> Chunked:
+    """A lower-casing BPE with word ends, whose pattern drops white space."""
+    return _chunked(path, True)
 
-    def encode(chunks: list[str]) -> list[list[int]]:
-        out = [fast.encode_ordinary(x) if max(x, default="") < "Ā" else None for x in chunks]
-        rest = [k for k, x in enumerate(out) if x is None]
-        if rest:
-            for k, found in zip(rest, library.encode_batch_fast([chunks[k] for k in rest], add_special_tokens=False), strict=True):
-                out[k] = found.ids
-        return out
 
-    return Chunked(encode, np.uint16 if max(ranks.values()) < 1 << 16 else np.uint32)
+@lru_cache(maxsize=4)
+def byte_bpe(path: str) -> Chunked:
+    """A byte-level BPE."""
+    return _chunked(path, False)

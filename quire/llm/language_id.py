@@ -164,10 +164,12 @@ def fit(docs: DataFrame, *, sample: int = 6000) -> Model | None:
     bounds = docs.sparkSession.createDataFrame([(name, min(1.0, 1.2 * each / n)) for name, n in sizes], "lang string, bound double")
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = rows.join(F.broadcast(bounds), "lang").where(share < F.col("bound")).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= each)
+    # Of each text two windows, from hashed places anywhere in it; only they are sorted and sent.
     room = F.greatest(F.length("text") - LENGTH, F.lit(1))
-    place = F.pmod(F.xxhash64("doc_id", F.lit(1)), room).cast("int") + 1
-    got = picked.select("lang", F.substring("text", 1, LENGTH + 3).alias("a"), F.col("text").substr(place, F.lit(LENGTH + 3)).alias("b")).collect()
+    window = [F.col("text").substr(F.pmod(F.xxhash64("doc_id", F.lit(k)), room).cast("int") + 1, F.lit(LENGTH + 3)).alias(name) for k, name in enumerate("ab")]
+    rows = rows.select("doc_id", "lang", *window)
+    picked = rows.join(F.broadcast(bounds), "lang").where(share < F.col("bound")).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= each)
+    got = picked.select("lang", "a", "b").collect()
     languages = sorted(name for name, _ in sizes)
     number = {name: k for k, name in enumerate(languages)}
     raw = [(x.encode()[: LENGTH + 3], number[r["lang"]]) for r in sorted(got) for x in (r["a"], r["b"])]

@@ -10,8 +10,9 @@ one ordered Spark CASE expression that names the rule that fires.
 Statistics come from one pass over whole texts (:func:`text_stats`). Learning uses a bounded
 sample of labelled documents (``sample``, chosen by a hash of doc_id); every document is
 then judged. Defined results: a null or empty text has zero counts, so the fixed base rule
-rejects it; repeated rows are judged alike; without labels of both classes no rule is learned
-and only the base rule rejects; other columns of the input are ignored.
+rejects it; repeated rows are judged alike, and a doc_id that repeats among sampled ones teaches once; equal hashes are taken by doc_id;
+without labels of both classes no rule is learned and only the base rule rejects; an empty table gives no rows; a long text is
+measured whole, in memory; other columns of the input are ignored, and :func:`kept` returns them all, whatever their names.
 """
 
 from __future__ import annotations
@@ -238,7 +239,8 @@ def learned_rules(docs: DataFrame, labels: DataFrame, *, sample: int = 6000, **o
     marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")
-    rows = with_features(text_stats(texts)).where(~base_failed()).join(F.broadcast(chosen), "doc_id").select("quality", *FEATURES).toPandas().sort_values(["quality", *FEATURES])
+    one = with_features(text_stats(texts)).where(~base_failed()).groupBy("doc_id").agg(F.min(F.struct(*FEATURES)).alias("found"))
+    rows = one.join(F.broadcast(chosen), "doc_id").select("quality", "found.*").toPandas().sort_values(["quality", *FEATURES])
     bad = (rows["quality"] == 0).to_numpy()
     return learn({name: rows[name].to_numpy(float) for name in FEATURES}, bad, **options) if 0 < bad.sum() < len(bad) else []
 
@@ -249,6 +251,14 @@ def judge(docs: DataFrame, rules: list[Rule], carry: tuple[str, ...] = ("doc_id"
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
+def kept(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The documents that the base rule and the rules keep, with all columns of docs."""
+    rest = [c for c in docs.columns if c != "text"]
+    row = docs.select(F.struct(*(F.col(c).alias(f"c{k}") for k, c in enumerate(rest))).alias("row"), "text")
+    found = judge(row, rules, ("row", "text")).where("kept")
+    return found.select(*("text" if c == "text" else F.col(f"row.c{rest.index(c)}").alias(c) for c in docs.columns))
+
+
 def rejected(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Documents with their verdict, by rules learned from the labels."""
     return judge(docs, learned_rules(docs, labels, **options))

@@ -9,8 +9,9 @@ nearest labels vote with their similarity as weight.
 
 The inverse document frequencies are part of the classifier and come from its sample. Defined
 results: a null, empty or very short text has a vector of zeros and gets the share of label 1;
-equally near neighbours all vote; repeated rows score alike; without labels every score is
-0.5; only text is an input of a score, and other columns are ignored.
+equally near neighbours all vote; repeated rows score alike, and a doc_id that repeats among labelled ones teaches once; without labels every score is
+0.5; an empty table gives no rows; a long text is counted whole, in memory; only text is an input of a score, and other columns are ignored,
+those of the names of the operator's own too.
 """
 
 from __future__ import annotations
@@ -102,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 5000) -> Model | No
     """A model from at most ``sample`` labelled documents that are not held out."""
     marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(5, 0)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,7 +112,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 5000) -> Model | No
                 yield pa.RecordBatch.from_arrays([batch.column(c).slice(piece.lo, piece.docs) for c in ("doc_id", "quality")] + [pa.array(rows, pa.binary())], ["doc_id", "quality", "counts"])
 
     kinds = dict(docs.dtypes)["doc_id"], dict(labels.dtypes)["quality"]
-    got = texts.mapInArrow(run, f"doc_id {kinds[0]}, quality {kinds[1]}, counts binary").collect()
+    counted = texts.mapInArrow(run, f"doc_id {kinds[0]}, quality {kinds[1]}, counts binary")
+    got = counted.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("counts").alias("counts")).collect()
     if not got:
         return None
     got.sort()

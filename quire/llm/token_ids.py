@@ -1,8 +1,9 @@
 """Token ids as files: canonical length-limited Huffman codes over global counts (operator 9).
 
-The file format is a Parquet table, one row for each block of whole documents in ascending
-doc_id order, written by Spark's own committer, so it needs no shared local folder and a lost
-task is written again. A block holds
+The file format is a folder of two Parquet tables, written by Spark's own committer, so it needs no shared
+local folder and a lost task is written again. ``code`` is one row: the ids that occur with their code lengths, the stride
+and the end id, which is all that a reader needs. ``blocks`` has one row for each block of whole documents in ascending
+doc_id order. A block holds
 
 * ``part``, ``block``: its place in the order of all blocks,
 * ``doc_ids``, ``sizes``: its documents and their numbers of ids,
@@ -14,9 +15,9 @@ MOST_BITS bits; the codes are canonical, so the lengths alone make the decoding
 block decodes by itself: all its checkpoints advance together, one id a step, through one
 table look-up on the next MOST_BITS bits.
 
-Defined results: a null or empty text has the end id alone; a null doc_id sorts first; rows
+Defined results: a null or empty text has the end id alone; doc_id is a whole number, a null one sorts first; rows
 that repeat a doc_id are ordered by their ids; an empty table writes no block; columns other
-than doc_id and text are ignored.
+than doc_id and text are ignored; a long text is a block of its own, held in memory whole.
 """
 
 from __future__ import annotations
@@ -27,17 +28,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
 from . import _tokens
-from ._store import shared, written
+from ._store import dropped, shared, written
 
 MOST_BITS = 20
 STRIDE = 256
 BLOCK_IDS = 1 << 17
 IDS_SCHEMA = "doc_id long, n_ids long, ids binary"
+CODE_SCHEMA = "stride int, end_id int, ids binary, lengths binary"
 BLOCK_SCHEMA = "part int, block long, n_ids long, doc_ids binary, sizes binary, bits binary, checkpoints binary"
 
 
@@ -154,7 +156,7 @@ class Code:
         return out.reshape(-1)[:total]
 
 
-def write_blocks(ids: DataFrame, lengths: dict[int, int], path: str) -> None:
+def write_file(ids: DataFrame, lengths: dict[int, int], path: str, end_id: int) -> None:
     """Write the file: ids sorted by doc_id over range partitions, each encoded in blocks.
 
     ids should be a written table: choosing the ranges reads its doc_id column only.
@@ -178,15 +180,20 @@ def write_blocks(ids: DataFrame, lengths: dict[int, int], path: str) -> None:
                 block, lo = block + 1, hi
 
     parts = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ids.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "n_ids", "ids").mapInArrow(run, BLOCK_SCHEMA).write.parquet(path)
+    ids.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "n_ids", "ids").mapInArrow(run, BLOCK_SCHEMA).write.parquet(f"{path}/blocks")
+    known = sorted(lengths)
+    row = (STRIDE, end_id, np.array(known, "<u4").tobytes(), bytes(lengths[i] for i in known))
+    ids.sparkSession.createDataFrame([row], CODE_SCHEMA).coalesce(1).write.parquet(f"{path}/code")
 
 
 NO_ID = -(2**63)
 
 
-def read_blocks(ids_file: DataFrame, lengths: dict[int, int]) -> DataFrame:
+def read_file(spark: SparkSession, path: str) -> DataFrame:
     """Each document of a file read back: doc_id, start, n_tokens, ids_crc32 and ids."""
-    code = Code(lengths)
+    head = spark.read.schema(CODE_SCHEMA).parquet(f"{path}/code").first()
+    code, stride = Code(dict(zip(np.frombuffer(head["ids"], "<u4").tolist(), head["lengths"], strict=True))), head["stride"]
+    ids_file = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks")
     # One row for each part, of its total; parts are as many as partitions, not as rows.
     order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = ids_file.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
@@ -198,7 +205,7 @@ def read_blocks(ids_file: DataFrame, lengths: dict[int, int]) -> DataFrame:
         names = ["doc_id", "start", "n_tokens", "ids_crc32", "ids"]
         for batch in batches:
             for row in batch.to_pylist():
-                ids = code.decode(row["bits"], np.frombuffer(row["checkpoints"], "<u8"), row["n_ids"]).astype("<u4")
+                ids = code.decode(row["bits"], np.frombuffer(row["checkpoints"], "<u8"), row["n_ids"], stride).astype("<u4")
                 size = np.frombuffer(row["sizes"], "<u4").astype(np.int64)
                 at = np.append(0, np.cumsum(size))
                 raw = [ids[at[k] : at[k + 1]].tobytes() for k in range(len(size))]
@@ -215,5 +222,6 @@ def encoded(docs: DataFrame, tokenizer: str, *, end_id: int = 1, name: str = "to
     ids = written(token_ids(docs, tokenizer, end_id), "ids")
     lengths = code_lengths(id_counts(ids))
     path = f"{shared(docs.sparkSession)}/{name}-{uuid4().hex}"
-    write_blocks(ids, lengths, path)
-    return read_blocks(docs.sparkSession.read.schema(BLOCK_SCHEMA).parquet(path), lengths)
+    write_file(ids, lengths, path, end_id)
+    dropped(ids)
+    return read_file(docs.sparkSession, path)
