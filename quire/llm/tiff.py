@@ -6,9 +6,11 @@ and tiles, chunky and planar samples, uncompressed, PackBits, LZW and deflate da
 horizontal differencing. :func:`write_pages` stores a payload as grey 8-bit pages in one file:
 rows of WIDTH samples, at most PAGE_ROWS rows a page, in strips or tiles.
 
-Defined results: a null or empty file, or one that is no TIFF or is cut off, gives one row with
-page null and the reason in ``error``; a null or empty text is a payload of 64 zero bytes; equal
-files give equal rows; columns other than those named are ignored, and an empty table gives no rows.
+Defined results: a null or empty file, or one that is no TIFF, is cut off or claims a page of more than
+MOST_SAMPLES samples, gives one row with
+page null and the reason in ``error``, and null digests; a null or empty text is a payload of 64 zero bytes; equal
+files and repeated rows give equal rows; a long text has as many pages as it needs, in one file in memory; columns other than
+those named are ignored, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ WIDTH = 64
 PAGE_ROWS = 4096
 STRIP_ROWS = 512
 TILE = 64
+#: Samples of a page at most, as they are held in memory at once; a few bytes of a bad file can claim any number.
+MOST_SAMPLES = 1 << 28
 
 # Fixed values of the TIFF 6.0 format: tags, compressions, and bytes of each field type.
 IMAGE_WIDTH, IMAGE_LENGTH, BITS_PER_SAMPLE, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
@@ -208,7 +212,8 @@ def write_pages(payload: bytes, *, compression: int = DEFLATE, predictor: int =
                 part = np.vstack([part, np.zeros((TILE - len(part), WIDTH), np.uint8)])
             if predictor == 2:
                 part = _differences(part)
-            data = pack(part.tobytes(), compression)
+            # PackBits runs end with a row.
+            data = b"".join(pack(line.tobytes(), compression) for line in part) if compression == PACKBITS else pack(part.tobytes(), compression)
             offsets.append(len(out))
             sizes.append(len(data))
             out += data + b"\0" * (len(data) & 1)
@@ -274,6 +279,8 @@ def _page(raw: bytes, tags: dict[int, list[int]]) -> Page:
     else:
         across, down = width, min(one(ROWS_PER_STRIP, height), height)
         offsets, sizes = tags[STRIP_OFFSETS], tags[STRIP_BYTE_COUNTS]
+    if min(width, height, channels, across, down) < 1 or width * height * channels > MOST_SAMPLES or across * down * channels > MOST_SAMPLES:
+        raise NotTiff(f"a page of {width} x {height} x {channels} samples in parts of {across} x {down}")
     planes = channels if one(PLANAR, 1) == 2 else 1
     each = channels // planes
     out = np.zeros((planes, height, width * each), np.uint8)
@@ -310,7 +317,9 @@ def decode(raw: bytes) -> Iterator[Page]:
             tags, following = _directory(raw, at, order)
             yield _page(raw, tags)
             at = following
-    except (KeyError, IndexError, struct.error) as e:
+    except NotTiff:
+        raise
+    except (KeyError, IndexError, ValueError, OverflowError, struct.error) as e:
         raise NotTiff(f"cut off or no TIFF: {e}") from e
 
 
@@ -381,7 +390,11 @@ def digests(media: DataFrame) -> DataFrame:
             rows = []
             for doc, n, raw in zip(batch.column("doc_id"), batch.column("n_bytes"), batch.column("media"), strict=True):
                 raw = raw.as_py()
-                found = list(decode(raw))
+                try:
+                    found = list(decode(raw or b""))
+                except NotTiff:
+                    rows.append((doc.as_py(), n.as_py(), *(None,) * 7))
+                    continue
                 payload = b"".join(p.samples for p in found)
                 rows.append((doc.as_py(), n.as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(raw), hashlib.sha256(raw).hexdigest(), feature(np.frombuffer(payload, np.uint8), len(found)), len(found)))
             if rows:
