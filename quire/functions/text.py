@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: The white-space class, as characters for a bracket expression.
 SPACES = "\t\n\x0b\x0c\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+#: The same class for Java's expressions, nested so that two tests tell a Latin letter apart and not one for each range.
+_SPACE = r"\t-\r \x{A0}[\x{1680}-\x{FFFF}&&[\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]]"
 LEAST_PAGE_TEXT = 32
 
 # Fonts whose names mark metadata in a canonical text stream.
@@ -25,7 +27,7 @@ CELL_LENGTH = 35
 
 def normalized(text: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return F.trim(F.regexp_replace(text, f"[{SPACES}]+", " "))
+    return F.trim(F.regexp_replace(text, f"[{_SPACE}]++", " "))
 
 
 def matchable(text: Column) -> Column:
@@ -35,8 +37,9 @@ def matchable(text: Column) -> Column:
 
 def comparable(text: Column) -> Column:
     """Matchable, hyphens at line ends joined and punctuation as spaces."""
-    joined = F.regexp_replace(matchable(text), f"-[{SPACES}]+", "")
-    return normalized(F.regexp_replace(joined, r"[.,;:()\[\]{}]", " "))
+    # Normalised text has no other white space than single spaces, and punctuation becomes more of these.
+    joined = F.replace(matchable(text), F.lit("- "), F.lit(""))
+    return F.trim(F.regexp_replace(joined, r"[ .,;:()\[\]{}]++", " "))
 
 
 def fingerprint(text: Column) -> Column:
@@ -65,38 +68,53 @@ def without_controls(text: Column) -> Column:
 
 def units(text: Column) -> Column:
     """Length in UTF-16 units."""
-    return F.length(text) + F.regexp_count(text, F.lit(r"[\x{10000}-\x{10FFFF}]"))
+    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
+
+
+# Letters and digits that make a text readable.
+SOLID = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyzÅÄÖåäö0123456789"
+
+
+def readable(plain: Column) -> Column:
+    """:func:`is_readable` of a text that is normalised already."""
+    length, solid = units(plain), F.length(plain) - F.length(F.translate(plain, SOLID, ""))
+    return (length >= 2) & (solid >= 2) & (solid / F.greatest(length, F.lit(1)) >= 0.35)
 
 
 def is_readable(text: Column) -> Column:
     """Two characters or more, two or more of them letters or digits, which are 35 % or more."""
-    plain = normalized(text)
-    length, solid = units(plain), F.regexp_count(plain, F.lit("[A-Za-zÅÄÖåäö0-9]"))
-    return (length >= 2) & (solid >= 2) & (solid / F.greatest(length, F.lit(1)) >= 0.35)
+    return readable(normalized(text))
+
+
+def noisy(plain: Column, fonts: tuple[str, ...] = METADATA_FONTS) -> Column:
+    """:func:`is_noise` of a text that is normalised already."""
+    marked = F.contains(plain, F.lit("\ufffd")) | F.contains(plain, F.lit("\uffff"))
+    for name in fonts:
+        marked |= F.contains(plain, F.lit(name))
+    return marked | ((F.octet_length(plain) > 1000) & (units(plain) > 1000) & (F.regexp_count(plain, F.lit("https?://")) > 3))
 
 
 def is_noise(text: Column, fonts: tuple[str, ...] = METADATA_FONTS) -> Column:
     """Replacement characters, a metadata font's name, or a long text with more than three addresses."""
-    names = "|".join(name.replace(" ", f"[{SPACES}]+") for name in fonts)
-    marked = text.rlike(f"[\ufffd\uffff]|{names}" if names else "[\ufffd\uffff]")
-    return marked | ((F.regexp_count(text, F.lit("https?://")) > 3) & (units(normalized(text)) > 1000))
+    return noisy(normalized(text), fonts)
 
 
-def is_caption(text: Column, pattern: str = CAPTION) -> Column:
-    return normalized(text).rlike(f"(?iu){pattern}")
+def is_caption(text: Column, pattern: str = CAPTION, plain: bool = False) -> Column:
+    """Like the other line classes (T10), of a text that is normalised already if ``plain``."""
+    return (text if plain else normalized(text)).rlike(f"(?iu){pattern}")
 
 
-def is_source_note(text: Column, pattern: str = SOURCE_NOTE) -> Column:
-    return normalized(text).rlike(f"(?iu){pattern}")
+def is_source_note(text: Column, pattern: str = SOURCE_NOTE, plain: bool = False) -> Column:
+    return (text if plain else normalized(text)).rlike(f"(?iu){pattern}")
 
 
-def is_footnote(text: Column, pattern: str = FOOTNOTE) -> Column:
-    return normalized(text).rlike(pattern)
+def is_footnote(text: Column, pattern: str = FOOTNOTE, plain: bool = False) -> Column:
+    return (text if plain else normalized(text)).rlike(pattern)
 
 
-def is_table_cell(text: Column) -> Column:
-    plain = normalized(text)
-    return plain.rlike(r"\d") | (units(plain) <= CELL_LENGTH)
+def is_table_cell(text: Column, plain: bool = False) -> Column:
+    text = text if plain else normalized(text)
+    return text.rlike(r"\d") | (units(text) <= CELL_LENGTH)
 
 
 def looks_like_heading(text: Column, known: Column | None = None, most: int = 95) -> Column:
@@ -160,4 +178,9 @@ def page_score(paragraph: Column, page: Column) -> Column:
 
 def expected_text_present(expected: Column, whole: Column, length: int = 120, least: float = 0.72) -> Column:
     """The expected text's landmark, or enough of its words, is in the whole."""
-    return F.contains(comparable(whole), landmark(comparable(expected), length)) | (coverage_text(expected, whole) >= least)
+
+    def body(given: Column) -> Column:
+        sought = F.array_distinct(F.filter(F.split(given["expected"], " "), lambda w: F.length(w) >= 5))
+        return F.contains(given["whole"], landmark(given["expected"], length)) | (_share(sought, given["whole"], 1.0) >= least)
+
+    return let(F.struct(comparable(expected).alias("expected"), comparable(whole).alias("whole")), body)

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 Names = Sequence[str]
 
 
@@ -22,18 +24,23 @@ def _before(by: Names, order: Names):
     return Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def first_flags(rows: DataFrame, key: Column, order: str, by: Names = (), least: Column | None = None) -> DataFrame:
-    """rows with ``first``: whether no earlier row of ``by`` has the key; true where ``least`` is false.
+def first_flags(rows: DataFrame, key: Column, order: str, by: Names = (), least: Column | None = None, copies: str | None = None) -> DataFrame:
+    """rows with ``first``: whether no earlier row of ``by`` has the key, null as one key; true where ``least`` is false.
 
-    A minimum by key, combined before the shuffle, and a join that Spark can split, so a
-    text that a third of the rows repeat is no single task.
+    copies: a column for how many rows have the key. A minimum by key, combined before the
+    shuffle, and a join that Spark can split, so a text that a third of the rows repeat is no single task.
     """
-    keyed = rows.withColumn("_key", key)
-    first = keyed.groupBy(*by, "_key").agg(F.min(order).alias("_first"))
-    out = keyed.join(first, [*by, "_key"], "left").withColumn("first", F.col(order) == F.col("_first"))
+    keys = {"_key": key, **{f"_by{k}": F.col(name) for k, name in enumerate(by)}}
+    keyed = rows.withColumns(keys)
+    first = keyed.groupBy(*keys).agg(F.min(order).alias("_first"), F.count("*").alias(copies or "_copies"))
+    same = F.lit(True)
+    for name in keys:
+        first = first.withColumnRenamed(name, f"{name}2")
+        same &= F.col(name).eqNullSafe(F.col(f"{name}2"))
+    flag = F.col(order).eqNullSafe(F.col("_first"))
     if least is not None:
-        out = out.withColumn("first", F.col("first") | ~least)
-    return out.drop("_key", "_first")
+        flag |= ~F.coalesce(least, F.lit(True))
+    return keyed.join(first, same, "left").withColumn("first", flag).drop("_first", "_copies", *keys, *(f"{name}2" for name in keys))
 
 
 def merge_adjacent(rows: DataFrame, by: Names, order: Names, same: Names, text: str) -> DataFrame:
@@ -83,8 +90,12 @@ def running_max(rows: DataFrame, by: Names, order: Names, value: Column, out: st
 
 def take_until(lines: Column, stop) -> Column:
     """The elements of an array before the first that stops; all if none does."""
-    at = F.array_position(F.transform(lines, lambda x: F.coalesce(stop(x), F.lit(False))), F.lit(True))
-    return F.when(at > 0, F.slice(lines, F.lit(1), (at - 1).cast("int"))).otherwise(lines)
+
+    def body(given: Column) -> Column:
+        return F.when(given["at"] > 0, F.slice(given["lines"], F.lit(1), (given["at"] - 1).cast("int"))).otherwise(given["lines"])
+
+    stops = F.transform(lines, lambda x: F.coalesce(stop(x), F.lit(False)))
+    return let(F.struct(lines.alias("lines"), F.array_position(stops, F.lit(True)).alias("at")), body)
 
 
 def first_places(rows: DataFrame, by: Names, place: str, anchors: dict[str, Column]) -> DataFrame:

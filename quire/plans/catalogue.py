@@ -94,9 +94,10 @@ SELECT doc_id, (doc_id = min(doc_id) OVER (PARTITION BY t) OR {_units('t')} < 32
 )
 def duplicate_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a text is its first occurrence, and whether a long enough one occurs again."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", X.fingerprint(F.col("text")).alias("fp"), (X.units(X.normalized(F.col("text"))) >= X.LEAST_PAGE_TEXT).alias("long"))
-    groups = docs.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"))
-    return docs.join(groups, "fp").select("doc_id", ((F.col("doc_id") == F.col("first_doc")) | ~F.col("long")).alias("first"), (F.col("long") & (F.col("n") > 1)).alias("repeated"))
+    plain = _table(spark, sf_dir, "documents").select("doc_id", X.normalized(F.col("text")).alias("text"))
+    docs = plain.select("doc_id", F.sha1(F.encode("text", "UTF-8")).alias("key"), (X.units(F.col("text")) >= X.LEAST_PAGE_TEXT).alias("long"))
+    flagged = sequences.first_flags(docs, F.col("key"), "doc_id", least=F.col("long"), copies="copies")
+    return flagged.select("doc_id", "first", (F.col("long") & (F.col("copies") > 1)).alias("repeated"))
 
 
 _LINES = f"""l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS para_no, unnest(string_split(text, chr(10))) AS raw FROM documents),
@@ -104,14 +105,15 @@ p AS (SELECT doc_id, para_no, {_t1('raw')} AS t FROM l)"""
 
 
 def _paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("para_no", "text"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("para_no", "text"))
 
 
 @_query(f"WITH {_LINES} SELECT doc_id, para_no::INT AS para_no, {_readable('t')} AS readable, {_noise('t')} AS noise, sha1(t) AS text_sha1 FROM p")
 def readable_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T5, T8, T9 on the lines of each text."""
-    text = F.col("text")
-    return _paragraphs(spark, sf_dir).select("doc_id", "para_no", X.is_readable(text).alias("readable"), X.is_noise(text).alias("noise"), X.fingerprint(text).alias("text_sha1"))
+    plain = F.col("plain")
+    lines = _paragraphs(spark, sf_dir).select("doc_id", "para_no", X.normalized(F.col("text")).alias("plain"))
+    return lines.select("doc_id", "para_no", X.readable(plain).alias("readable"), X.noisy(plain).alias("noise"), F.sha1(F.encode(plain, "UTF-8")).alias("text_sha1"))
 
 
 @_query(
@@ -122,7 +124,7 @@ SELECT n.doc_id, (count(*) FILTER (WHERE (stop IS NULL OR para_no < stop) AND {_
 def take_until_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readable lines before the first that is noise, in one pass without a shuffle."""
     lines = F.transform(F.split("text", "\n"), X.normalized)
-    kept = F.filter(sequences.take_until(F.col("lines"), lambda t: X.is_noise(t) | t.rlike("[#$%&*]{3}")), X.is_readable)
+    kept = F.filter(sequences.take_until(F.col("lines"), lambda t: X.noisy(t) | t.rlike("[#$%&*]{3}")), X.readable)
     docs = _table(spark, sf_dir, "documents").select("doc_id", lines.alias("lines")).select("doc_id", kept.alias("kept"))
     return docs.select("doc_id", F.size("kept").alias("kept"), F.aggregate("kept", F.lit(0).cast("long"), lambda n, t: n + F.length(t)).alias("kept_chars"))
 
@@ -133,9 +135,10 @@ count(*) FILTER (WHERE regexp_matches(t, '{X.FOOTNOTE}')) AS footnotes, count(*)
 )
 def classify_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of each class."""
-    text = F.col("text")
-    kinds = {"captions": X.is_caption(text), "source_notes": X.is_source_note(text), "footnotes": X.is_footnote(text), "cells": X.is_table_cell(text)}
-    return _paragraphs(spark, sf_dir).groupBy("doc_id").agg(*(F.count_if(c).alias(name) for name, c in kinds.items()))
+    plain = F.col("plain")
+    kinds = {"captions": X.is_caption(plain, plain=True), "source_notes": X.is_source_note(plain, plain=True), "footnotes": X.is_footnote(plain, plain=True), "cells": X.is_table_cell(plain, plain=True)}
+    lines = _paragraphs(spark, sf_dir).select("doc_id", X.normalized(F.col("text")).alias("plain"))
+    return lines.groupBy("doc_id").agg(*(F.count_if(c).alias(name) for name, c in kinds.items()))
 
 
 @_query(f"SELECT doc_id, len({_words('text')})::INT AS n_words, sha1(array_to_string(list_sort({_words('text')}), ' ')) AS words_sha1 FROM documents")
