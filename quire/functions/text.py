@@ -143,6 +143,19 @@ def as_array(value: Column) -> Column:
     return F.when(value.isNull(), F.array().cast("array<string>")).otherwise(F.array(value))
 
 
+def literal(value: Column) -> Column:
+    """A text as a quoted literal of ASCII alone (T14): JSON's escapes, and \\uXXXX for each UTF-16 unit beyond ASCII."""
+    quoted = F.regexp_replace(F.to_json(F.struct(value.alias("v"))), r'(?s)^\{"v":(.*)\}$', "$1")
+    # In hex, four digits a unit: those of ASCII go back to their character.
+    unit = F.regexp_extract_all(F.hex(F.encode(quoted, "UTF-16BE")), F.lit("(.{4})"))
+    return F.array_join(F.transform(unit, lambda u: F.when(F.startswith(u, F.lit("00")) & (u < "0080"), F.decode(F.unhex(F.substring(u, 3, 2)), "UTF-8")).otherwise(F.concat(F.lit("\\u"), F.lower(u)))), "")
+
+
+def parsed_color(value: Column) -> Column:
+    """A colour as a struct with its text; empty: null."""
+    return F.when(F.length(value) > 0, F.struct(value.alias("hex")))
+
+
 def let(value: Column, body) -> Column:
     """body of a value that is computed once, also where body uses it in the lambda of another function."""
     return F.element_at(F.transform(F.array(value), body), 1)

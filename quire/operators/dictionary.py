@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .sequences import numbered
+
+#: Places in one stretch of a numbering.
+STRETCH = 1 << 16
 
 
 def dictionary(rows: DataFrame, by: Sequence[str], order: Sequence[str], keys: Sequence[str], prefix: str, seeds: Sequence[Sequence] = ()) -> DataFrame:
@@ -16,12 +22,16 @@ def dictionary(rows: DataFrame, by: Sequence[str], order: Sequence[str], keys: S
     used = rows.where(F.coalesce(*(F.col(k).cast("string") for k in keys)).isNotNull())
     first = used.groupBy(*by, *keys).agg(F.min(F.struct(*order)).alias("_first")).withColumn("_seed", F.lit(None).cast("int"))
     if seeds:
-        kinds = rows.select(*keys).schema
-        given = rows.sparkSession.createDataFrame([(*seed, k) for k, seed in enumerate(seeds)], kinds.add("_seed", "integer"))
-        given = rows.select(*by).distinct().join(F.broadcast(given)) if by else given  # as many as the caller listed
+        kinds = dict(rows.dtypes)
+        listed = F.array(*(F.struct(*(F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(keys, seed, strict=True)), F.lit(k).alias("_seed")) for k, seed in enumerate(seeds)))
+        documents = rows.select(*by).distinct() if by else rows.sparkSession.range(1).select()
+        given = documents.select(*by, F.inline(listed))
         first = first.unionByName(given, allowMissingColumns=True).groupBy(*by, *keys).agg(F.min("_first").alias("_first"), F.min("_seed").alias("_seed"))
-    numbered = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("_seed").asc_nulls_last(), "_first"))
-    return first.select(*by, *keys, F.concat(F.lit(prefix), numbered).alias("id"))
+    # In a document's order, in stretches: seeds, then by what the first place is a multiple of where that is a whole number.
+    place = first.schema["_first"].dataType[order[0]]
+    stretch = F.floor(F.col("_first")[order[0]] / STRETCH) if isinstance(place.dataType, T.IntegralType) else F.lit(0).cast("long")
+    out = numbered(first.withColumn("_stretch", F.when(F.col("_seed").isNull(), stretch)), by, "_stretch", [F.col("_seed").asc_nulls_last(), F.col("_first")], "_no")
+    return out.select(*by, *keys, F.concat(F.lit(prefix), F.col("_no")).alias("id"))
 
 
 def with_ids(rows: DataFrame, entries: DataFrame, by: Sequence[str], keys: Sequence[str], out: str) -> DataFrame:

@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import Box, overlap, x_band
+from ..functions.geometry import Box, is_figure, overlap, x_band
+from ..functions.text import comparable, fingerprint, is_caption, is_footnote, is_source_note, is_table_cell, normalized
 
 Names = Sequence[str]
 
@@ -70,6 +71,12 @@ def page_analysis(frames: DataFrame, by: Names, columns: Column | None = None, f
     return frames.groupBy(*by).agg(F.count("*").alias("frame_count"), F.greatest(declared, bands).cast("long").alias("column_count"), edges.alias("column_bands"))
 
 
+def page_fingerprints(frames: DataFrame, by: Names, order: str, text: str) -> DataFrame:
+    """Per page, the fingerprint of its frames' texts joined by line feeds (A1)."""
+    texts = F.transform(F.array_sort(F.collect_list(F.struct(order, F.coalesce(F.col(text), F.lit("")).alias("t")))), lambda f: f["t"])
+    return frames.groupBy(*by).agg(F.array_join(texts, "\n").alias("_t")).select(*by, fingerprint(F.col("_t")).alias("page_fingerprint"))
+
+
 def interval_gaps(bases: DataFrame, blocks: DataFrame, by: Names, *, margin: float = 76, above: float = 8, below: float = 10, least: float = 42) -> DataFrame:
     """What is left of a base frame's height between the blocks that cross it: by, y, h.
 
@@ -125,18 +132,83 @@ def first_in_band(captions: DataFrame, lines: DataFrame, by: Names) -> DataFrame
 def table_lines(captions: DataFrame, lines: DataFrame, by: Names) -> DataFrame:
     """Cell-like lines between a caption and its source note.
 
-    captions: by, caption_no, x, y, w, h, source_y; lines: by, line_no, x, y, w and ``cell``.
+    captions: by, caption_no, x, y, w, h, next_y, source_y; lines: by, line_no, x, y, w and ``cell``. Without a
+    source note the table ends at the next caption, or 220 below its own.
     """
+    captions = captions.withColumn("source_y", F.coalesce("source_y", F.least(F.col("next_y"), F.col("y") + 220)))
     right = lines.select(*by, "line_no", "cell", *(F.col(c).alias(f"_{c}") for c in "xyw"))
     inside = (F.col("_y") > F.col("y") + F.col("h") + 6) & (F.col("_y") < F.col("source_y") - 4) & (F.col("_x") >= F.col("x") - 12) & (F.col("_x") + F.col("_w") <= F.col("x") + F.greatest(F.col("w"), F.lit(180.0)) + 24)
     return captions.join(right, list(by)).where(inside & F.col("cell")).select(*by, "caption_no", "line_no")
 
 
+def note_lines(notes: DataFrame, lines: DataFrame, by: Names) -> DataFrame:
+    """A source note's lines: those from its first on, near in x, above the next caption and within 80.
+
+    notes: by, caption_no, next_y, line_no, x, y, w of the first line; lines: by, line_no, x, y. A line that several notes
+    could take goes to the earliest caption. line_no must follow (y, x).
+    """
+    right = lines.select(*by, F.col("line_no").alias("_no"), F.col("x").alias("_x"), F.col("y").alias("_y"))
+    below = (F.col("_no") >= F.col("line_no")) & (F.col("_y") < F.least(F.coalesce("next_y", F.lit(float("inf"))), F.col("y") + 80))
+    near = (F.col("_x") >= F.col("x") - 8) & (F.col("_x") <= F.col("x") + F.greatest(F.col("w"), F.lit(180.0)) + 12)
+    return claimed_lines(notes.join(right, list(by)).where(below & near).select(*by, "caption_no", F.col("_no").alias("line_no")), by)
+
+
 def claimed_lines(candidates: DataFrame, by: Names) -> DataFrame:
     """Each line goes to the earliest caption that could take it (J9). candidates: by, caption_no, line_no."""
     return candidates.groupBy(*by, "line_no").agg(F.min("caption_no").alias("caption_no"))
 
 
+def reference_blocks(lines: DataFrame, shapes: DataFrame, pages: DataFrame, by: Names) -> DataFrame:
+    """Captions, tables, source notes, footnotes and figures of reference pages, as numbered blocks.
+
+    lines: by, x, y, w, h, text; shapes: by, item_no, x, y, w, h; pages: by, page_w, page_h; ``by`` ends with the page.
+    Returns by, block_no, role, of_no (the caption's, footnote's or shape's number), text and the box. A caption's
+    table and source note follow it; footnotes and figures come after all captions.
+    """
+    text = F.col("text")
+    plain = lines.withColumn("text", normalized(text)).where("text <> ''")
+    in_order = Window.partitionBy(*by).orderBy("y", "x", "text", "w", "h")
+    plain = plain.withColumn("line_no", F.row_number().over(in_order)).withColumns({"caption": is_caption(text, plain=True), "note": is_source_note(text, plain=True)})
+    captions = plain.where("caption").withColumn("caption_no", F.row_number().over(Window.partitionBy(*by).orderBy("line_no")))
+    # The first caption more than 2 below, also of fractions: from the next larger y on.
+    later = captions.select(*by, F.col("y").alias("_y"))
+    below = captions.select(*by, "caption_no", "y").join(later, list(by)).where(F.col("_y") > F.col("y") + 2).groupBy(*by, "caption_no").agg(F.min("_y").alias("next_y"))
+    captions = captions.select(*by, "caption_no", "text", *"xywh").join(below, [*by, "caption_no"], "left")
+    first = first_in_band(captions, plain.where("note").select(*by, "line_no", "x", "y"), by)
+    note = first.join(plain.select(*by, "line_no", F.col("x").alias("source_x"), F.col("y").alias("source_y"), F.col("w").alias("source_w")), [*by, "line_no"])
+    known = captions.join(note.select(*by, "caption_no", "line_no", "source_x", "source_y", "source_w"), [*by, "caption_no"], "left")
+
+    cells = plain.where("NOT caption AND NOT note").withColumn("cell", is_table_cell(text, plain=True))
+    is_table = F.startswith(comparable(text), F.lit("tabell"))
+    inside = table_lines(known.where(is_table).drop("line_no"), cells.select(*by, "line_no", "cell", "x", "y", "w"), by).join(cells.select(*by, "line_no", "text", *"xywh"), [*by, "line_no"])
+    tables = _of_lines(inside, by)
+    rows = baseline_rows(inside.select(*by, "caption_no", "x", "y", F.col("line_no").alias("item_no")), [*by, "caption_no"]).select(*by, "caption_no", "row_no", F.posexplode("members").alias("_at", "line_no"))
+    row_text = rows.join(inside.select(*by, "caption_no", "line_no", "text"), [*by, "caption_no", "line_no"]).groupBy(*by, "caption_no", "row_no").agg(_joined("_at", "\t").alias("_row"))
+    tables = tables.join(row_text.groupBy(*by, "caption_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "_row"))), lambda r: r["_row"]), "\n").alias("text")), [*by, "caption_no"])
+    taken = note_lines(known.where("line_no IS NOT NULL").select(*by, "caption_no", "next_y", "line_no", F.col("source_x").alias("x"), F.col("source_y").alias("y"), F.col("source_w").alias("w")), plain.select(*by, "line_no", "x", "y"), by)
+    of_notes = taken.join(plain.select(*by, "line_no", "text", *"xywh"), [*by, "line_no"])
+    notes = _of_lines(of_notes, by).join(of_notes.groupBy(*by, "caption_no").agg(_joined("line_no", " ").alias("text")), [*by, "caption_no"])
+
+    sized = plain.join(pages, list(by))
+    footnotes = sized.where((F.col("y") > F.col("page_h") - 135) & is_footnote(text, plain=True)).withColumn("caption_no", F.row_number().over(Window.partitionBy(*by).orderBy("line_no")))
+    numbered = shapes.withColumn("caption_no", F.row_number().over(Window.partitionBy(*by).orderBy("item_no"))).join(pages, list(by))
+    figures = numbered.where(is_figure(*(F.col(c) for c in ("x", "y", "w", "h", "page_w", "page_h")))).withColumn("text", F.lit(""))
+    out = None
+    for rank, (role, found) in enumerate((("caption", captions), ("table", tables), ("source-note", notes), ("footnote", footnotes), ("figure", figures))):
+        place = F.struct(F.lit(max(rank - 2, 0)).alias("part"), F.col("caption_no").alias("no"), F.lit(min(rank, 2)).alias("rank"))
+        part = found.select(*by, place.alias("_place"), F.lit(role).alias("role"), F.col("caption_no").alias("of_no"), "text", *(F.col(c).cast("double").alias(c) for c in "xywh"))
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("block_no", F.row_number().over(Window.partitionBy(*by).orderBy("_place"))).drop("_place")
+
+
+def _of_lines(found: DataFrame, by: Names) -> DataFrame:
+    return union_bounds(found, [*by, "caption_no"])
+
+
+def _joined(order: str, between: str) -> Column:
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))), lambda r: r["text"]), between)
+
+
 def monotone(scores: DataFrame, by: Names, least: float = 0.16) -> DataFrame:
     """Paragraphs to pages, never backwards: by, para_no, page_no.
 

@@ -43,6 +43,22 @@ def first_flags(rows: DataFrame, key: Column, order: str, by: Names = (), least:
     return keyed.join(first, same, "left").withColumn("first", flag).drop("_first", "_copies", *keys, *(f"{name}2" for name in keys))
 
 
+def numbered(rows: DataFrame, by: Names, stretch: str, order: Sequence, out: str) -> DataFrame:
+    """rows with a running number from 1 in ``by``, in order of ``stretch`` (nulls first) and ``order``.
+
+    Two steps: within a stretch, and from the numbers of rows in the stretches before, so that one task sorts
+    no more than a stretch, and the counts of stretches.
+    """
+    before = Window.partitionBy(*by).orderBy(F.col(stretch).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(*by, stretch).agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    sizes = sizes.select(*(F.col(c).alias(f"_{c}2") for c in [*by, stretch]), "_before")
+    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*by, stretch).orderBy(*order)))
+    same = F.lit(True)
+    for c in [*by, stretch]:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}2"))
+    return ranked.join(sizes, same).withColumn(out, (F.col("_rank") + F.col("_before"))).drop("_rank", "_before", *(f"_{c}2" for c in [*by, stretch]))
+
+
 def merge_adjacent(rows: DataFrame, by: Names, order: Names, same: Names, text: str) -> DataFrame:
     """Neighbouring rows that are equal, nulls included, on ``same`` become one run.
 

@@ -6,26 +6,34 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.geometry import is_footer
 from ..functions.text import coverage_canonical, fingerprint, looks_like_heading, matchable, normalized
-from .sequences import longest_runs, running_max, top
+from .dictionary import STRETCH
+from .layout import interval_gaps, split_columns
+from .sequences import longest_runs, numbered, running_max, top
 
 Names = Sequence[str]
+#: Zones of a page that can be configured.
+MOST_ZONES = 1000
 
 
 def fingerprint_groups(frames: DataFrame, by: Names, order: str, text: str) -> DataFrame:
     """Texts that two or more frames share: by, fingerprint, members and the first frame's order (F1)."""
-    seen = frames.where(normalized(F.col(text)) != "").select(*by, order, fingerprint(F.col(text)).alias("fingerprint"))
-    return seen.groupBy(*by, "fingerprint").agg(F.count("*").alias("members"), F.min(order).alias("first")).where("members > 1")
+    plain = frames.select(*by, order, normalized(F.col(text)).alias("_t"))
+    seen = plain.groupBy(*by, F.sha1(F.encode("_t", "UTF-8")).alias("fingerprint")).agg(F.count("*").alias("members"), F.min(order).alias("first"), F.max(F.length("_t")).alias("_n"))
+    return seen.where("members > 1 AND _n > 0").drop("_n")
 
 
 def repeated_stories(frames: DataFrame, by: Names, order: str, text: str) -> DataFrame:
     """Those groups as stories, numbered in each document by first appearance, with the first frame's text (F1)."""
     groups = fingerprint_groups(frames, by, order, text)
-    numbered = groups.withColumn("story_no", F.row_number().over(Window.partitionBy(*by).orderBy("first")))
+    whole = isinstance(groups.schema["first"].dataType, T.IntegralType)
+    stretched = groups.withColumn("_stretch", F.floor(F.col("first") / STRETCH) if whole else F.lit(0).cast("long"))
+    numbered_ = numbered(stretched, by, "_stretch", ["first"], "story_no").drop("_stretch")
     first = frames.select(*by, F.col(order).alias("first"), text)
-    return numbered.join(first, [*by, "first"]).withColumn("story_id", F.concat(F.lit("story-"), F.col("story_no")))
+    return numbered_.join(first, [*by, "first"]).withColumn("story_id", F.concat(F.lit("story-"), F.col("story_no")))
 
 
 def with_stories(frames: DataFrame, stories: DataFrame, by: Names, text: str) -> DataFrame:
@@ -54,11 +62,13 @@ def repaired(canonical: DataFrame, raw: DataFrame, by: Names, headings: DataFram
         F.min_by("style_id", F.when(heading & (F.col("weight") == "bold"), F.col("para_no"))).alias("_heading"),
     )
     known = keyed.where(heading & (F.length(normalized(F.col("text"))).between(1, 120))).select(*by, "_key")
-    if headings is not None:
-        known = known.union(keyed.select(*by).distinct().join(F.broadcast(headings.select(matchable(F.col("text"))))))  # a configured list
     known = known.distinct().withColumn("_known", F.lit(True))
     out = canonical.withColumn("_key", matchable(F.col("text"))).join(exact, [*by, "_key"], "left").join(known, [*by, "_key"], "left").join(templates, list(by), "left")
-    is_heading = looks_like_heading(F.col("text"), F.coalesce("_known", F.lit(False)))
+    listed = F.lit(None).cast("boolean")
+    if headings is not None:
+        out = out.join(headings.select(matchable(F.col("text")).alias("_key")).distinct().withColumn("_listed", F.lit(True)), "_key", "left")
+        listed = F.col("_listed")
+    is_heading = looks_like_heading(F.col("text"), F.coalesce("_known", listed, F.lit(False)))
     style = F.coalesce("_exact", F.when(is_heading, F.col("_heading")).otherwise(F.col("_body")))
     return out.select(*canonical.columns, is_heading.alias("is_heading"), style.alias("style_id"))
 
@@ -97,12 +107,16 @@ def cover_placeholders(empty: DataFrame, pages: DataFrame, first_y: DataFrame, b
     return ranked.withColumn("role", F.when(F.col("_n") == 1, "cover-title").otherwise("cover-abstract")).withColumn("h", F.when(F.col("_n") == 2, F.greatest("h", F.lit(70.0))).otherwise(F.col("h"))).drop("_n")
 
 
-def continuations(stories: DataFrame, pages: DataFrame, placed: DataFrame, empty: DataFrame, by: Names) -> DataFrame:
+def continuations(stories: DataFrame, pages: DataFrame, placed: DataFrame, empty: DataFrame, by: Names, back_matter: DataFrame | None = None) -> DataFrame:
     """For each story and page without it, the page's largest empty frame, if it is large enough.
 
     The largest is chosen before its size is tested, so a wide second never takes its place. One
-    frame may serve several stories. All joins have the document as an equality.
+    frame may serve several stories. All joins have the document as an equality. back_matter: documents (by) whose last page
+    is left out.
     """
+    if back_matter is not None:
+        last = pages.groupBy(*by).agg(F.max("page_no").alias("page_no")).join(back_matter.select(*by).distinct(), list(by), "left_semi")
+        pages = pages.join(last, [*by, "page_no"], "left_anti")
     open_ = stories.select(*by, "story_id").join(pages, list(by)).join(placed.select(*by, "page_no", "story_id"), [*by, "page_no", "story_id"], "left_anti")
     sized = empty.join(pages.select(*by, "page_no", "page_w", "page_h"), [*by, "page_no"])
     largest = top(sized.where(~is_footer(F.col("y"), F.col("w"), F.col("h"), F.col("page_h"))), [*by, "page_no"], [(F.col("w") * F.col("h")).desc(), F.col("item_no")])
@@ -123,7 +137,10 @@ def zone_frames(pages: DataFrame, empty: DataFrame, zones: DataFrame, by: Names)
     last = top(pages, by, [F.col("page_no").desc()])
     left = empty.join(last.select(*by, "page_no", "page_w"), [*by, "page_no"]).where((F.col("x") < F.col("page_w") * 0.3) & (F.col("w") < F.col("page_w") * 0.35))
     nth = left.withColumn("zone_no", F.row_number().over(Window.partitionBy(*by).orderBy("y", "item_no"))).select(*by, "zone_no", *(F.col(c).alias(f"_{c}") for c in "xwh"))
-    every = last.select(*by, "page_no").join(F.broadcast(zones))  # a configured list of a few zones
+    listed = zones.limit(MOST_ZONES + 1).collect()
+    if len(listed) > MOST_ZONES:
+        raise ValueError(f"more than {MOST_ZONES} zones")
+    every = last.select(*by, "page_no", F.inline(F.array(*(F.struct(*(F.lit(z[c]).cast(kind).alias(c) for c, kind in zones.dtypes)) for z in listed))))
     out = every.join(nth, [*by, "zone_no"], "left")
     label = F.col("kind") == "label"
     return out.select(*by, "page_no", "zone_no", "kind", *(F.when(label, F.coalesce(f"_{c}", c)).otherwise(F.col(c)).alias(c) for c in "xwh"), "y")
@@ -153,6 +170,35 @@ def anchored_stories(assigned: DataFrame, by: Names, reference: Column) -> DataF
     return pages.select(*by, "page_no", F.concat(F.lit("page-story-"), F.col("page_no")).alias("story_id"), "text", fingerprint(F.col("text")).alias("fingerprint"), "paragraphs", F.when(F.col("_ref"), "reference").otherwise("article").alias("role"), F.when(F.col("_ref"), 7.6).otherwise(8.9).alias("font_size_pt"))
 
 
+def anchored_frames(frames: DataFrame, blocks: DataFrame, pages: DataFrame, assigned: DataFrame, by: Names, reference: Column) -> DataFrame:
+    """Pages laid out anew around the blocks of their reference.
+
+    frames: by, page_no, item_no, role, x, y, w, h, columns, column_gap; blocks: by, page_no, block_no, role, x, y, w, h; pages: by,
+    page_no, page_w, page_h; assigned: as for :func:`anchored_stories`. On every page the frames that flow go, and frames of
+    captions, tables, notes and footnotes; those of the blocks come instead. Where text is assigned, the largest flow frame, or a default
+    one, is split around the blocks and takes the page's story. Returns by, page_no, role, story_id, frame_no and the box.
+    """
+    flowing = F.col("role").isin("story", "article", "reference")
+    base = top(frames.where(flowing), [*by, "page_no"], [(F.col("w") * F.col("h")).desc(), F.col("item_no")]).select(*by, "page_no", *(F.col(c).alias(f"_{c}") for c in ("x", "y", "w", "h", "columns", "column_gap")))
+    is_first = F.col("page_no") == 1
+    default = {"x": F.lit(72.0), "y": F.when(is_first, 390.0).otherwise(120.0), "w": F.col("page_w") - 144, "h": F.col("page_h") - F.when(is_first, 470).otherwise(210), "columns": F.lit(2), "column_gap": F.lit(18.0)}
+    missing = F.col("_x").isNull()
+    sized = pages.join(base, [*by, "page_no"], "left").select(*by, "page_no", "page_h", *(F.when(missing, v).otherwise(F.col(f"_{c}")).alias(c) for c, v in default.items()))
+    stories = anchored_stories(assigned, by, reference)
+    columns = split_columns(sized.join(stories.select(*by, "page_no"), [*by, "page_no"], "left_semi")).withColumnRenamed("column_no", "base_no")
+    split = interval_gaps(columns, blocks.where("role <> 'footnote'"), [*by, "page_no"]).join(stories.select(*by, "page_no", "story_id", "role"), [*by, "page_no"])
+    flow = split.withColumn("frame_no", F.row_number().over(Window.partitionBy(*by, "page_no").orderBy("y", "x", "base_no")))
+    framed = blocks.where(F.col("role").isin("caption", "table", "source-note", "footnote")).select(*by, "page_no", "role", F.lit(None).cast("string").alias("story_id"), F.col("block_no").cast("int").alias("frame_no"), "x", "y", "w", "h")
+    kept = frames.where(~flowing & ~F.col("role").isin("caption", "table", "source-note", "footnote") | F.col("role").isNull()).select(*by, "page_no", "role", F.lit(None).cast("string").alias("story_id"), F.col("item_no").cast("int").alias("frame_no"), "x", "y", "w", "h")
+    return flow.select(*by, "page_no", "role", "story_id", "frame_no", "x", "y", "w", "h").unionByName(framed).unionByName(kept)
+
+
+def document_text(rows: DataFrame, by: Names, order: Names, text: str, between: str = "\n", out: str = "text") -> DataFrame:
+    """Per document, its texts in order, end to end (A10, T5), and how many there are."""
+    parts = F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("_t"))))
+    return rows.groupBy(*by).agg(F.array_join(F.transform(parts, lambda r: r["_t"]), between).alias(out), F.count("*").alias("n_texts"))
+
+
 def styled(style: Column, font: Column, size: Column, default_font: str, default_size: float = 10.0) -> Column:
     """A run's style with a template's defaults."""
     return F.struct(style.alias("style_id"), F.coalesce(font, F.lit(default_font)).alias("font"), F.coalesce(size, F.lit(default_size)).alias("size"))

@@ -6,8 +6,6 @@ on the page of their order, a user's events are a command log. Every query reads
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,24 +13,9 @@ from ..functions import text as X
 from ..functions.geometry import x_band
 from ..functions.units import drawing_points, points
 from ..operators import dictionary, gate, jobs, layout, raster, sequences, stories
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def _query(sql: str | None = None):
-    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from .registry import QUERIES, SQL  # noqa: F401
+from .registry import query as _query
+from .registry import table as _table
 
 # ---- SQL of the scalar functions ----
 
