@@ -132,10 +132,11 @@ def first_in_band(captions: DataFrame, lines: DataFrame, by: Names) -> DataFrame
 def table_lines(captions: DataFrame, lines: DataFrame, by: Names) -> DataFrame:
     """Cell-like lines between a caption and its source note.
 
-    captions: by, caption_no, x, y, w, h, next_y, source_y; lines: by, line_no, x, y, w and ``cell``. Without a
+    captions: by, caption_no, x, y, w, h, source_y and perhaps next_y; lines: by, line_no, x, y, w and ``cell``. Without a
     source note the table ends at the next caption, or 220 below its own.
     """
-    captions = captions.withColumn("source_y", F.coalesce("source_y", F.least(F.col("next_y"), F.col("y") + 220)))
+    following = F.col("next_y") if "next_y" in captions.columns else F.lit(None).cast("double")
+    captions = captions.withColumn("source_y", F.coalesce("source_y", F.least(following, F.col("y") + 220)))
     right = lines.select(*by, "line_no", "cell", *(F.col(c).alias(f"_{c}") for c in "xyw"))
     inside = (F.col("_y") > F.col("y") + F.col("h") + 6) & (F.col("_y") < F.col("source_y") - 4) & (F.col("_x") >= F.col("x") - 12) & (F.col("_x") + F.col("_w") <= F.col("x") + F.greatest(F.col("w"), F.lit(180.0)) + 24)
     return captions.join(right, list(by)).where(inside & F.col("cell")).select(*by, "caption_no", "line_no")
