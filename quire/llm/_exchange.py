@@ -75,6 +75,18 @@ def from_deltas(delta: np.ndarray) -> np.ndarray:
     return np.cumsum(delta, dtype=np.uint64)
 
 
+def totals(rows: list[bytes]) -> list[bytes]:
+    """An answer for rows of ascending hashes and counts: of each hash, the sum of its counts in all rows."""
+    parts = [unpacked(r, "<u8", "<u4") for r in rows]
+    every, count = np.concatenate([from_deltas(h) for h, _ in parts]), np.concatenate([c for _, c in parts]).astype(np.int64)
+    order = np.argsort(every)
+    first = np.append(True, np.diff(every[order]) != 0)[: len(every)]
+    total = np.minimum(np.add.reduceat(count[order], np.flatnonzero(first)), 2**32 - 1)
+    out = np.empty(len(every), "<u4")
+    out[order] = total[np.cumsum(first) - 1]
+    return [packed(part) for part in np.split(out, np.cumsum([len(h) for h, _ in parts])[:-1])]
+
+
 ROWS = "bucket long, batch long, packed binary"
 
 

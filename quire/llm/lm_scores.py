@@ -3,41 +3,38 @@
 A word after the two before it scores c(xyz) / c(xy) if that trigram occurs at least
 ``least`` times in the corpus, else 0.4 times c(yz) / c(y) likewise, else 0.4^2 c(z) / N. Counts
 are over all documents; N is the number of all words. A document's score is the mean
-natural logarithm over its words.
+natural logarithm over its words. As a document's own words are in the corpus too, every n-gram of it occurs
+once: ``least`` is 2, so that an n-gram counts as seen where it occurs besides the place at hand. With 1 nothing ever backs off.
 
 Count tables and exploded n-grams are partitioned by a hash of the n-gram, so that they
-meet in one bucket. To keep rows few, what moves is packed: documents are dealt into batches
-by a hash of doc_id, each batch explodes its n-grams, counts them, and sends each bucket one
+meet in one bucket, in packed rows (``_exchange``): a batch of documents explodes its n-grams, counts them, and sends each bucket one
 row with its sorted hashes and counts. A bucket adds up the counts of all batches, which is
 its part of the count tables, and joins them to each batch's n-grams: it answers each row with
 the total counts, in the same order. The batch joins the answers to its words and sums by
 document. An n-gram however frequent is one entry per batch, so no bucket is hot, and what
-is gathered grows with the input. Hashes have 48 bits within one of the buckets.
+is gathered grows with the input. As rows, the exploded n-grams of three orders would be some twenty times the input.
 
 Defined results: words are those between white space, as written; a null or wordless text has
 n_words 0 and a null score; repeated rows are all counted and each scored; a null doc_id is
-scored like another; an empty table gives no rows; columns other than doc_id and text are ignored.
+scored like another; doc_id is a whole number; an empty table gives no rows; columns other than doc_id and text are ignored; a long
+text is in one batch, in memory: some hundred bytes for each of its words.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _exchange as X
 from . import _text as T
 
 ORDER = 3
 LEAST = 2
 BACKOFF = 0.4
-#: Bytes of text in a batch, and of text behind a bucket, about.
-BATCH_BYTES = 8_000_000
-BUCKET_BYTES = 4_000_000
-
-_LOW = np.uint64(0xFFFFFFFF)
+#: Bytes of text in a batch, about.
+BATCH_BYTES = 6_000_000
 
 
 def _ngrams(w: T.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -45,59 +42,38 @@ def _ngrams(w: T.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     gram, whole = T.grams(w, n)
     out, known = np.zeros_like(gram), np.zeros_like(whole)
     out[n - 1 :], known[n - 1 :] = gram[: len(gram) - n + 1], whole[: len(gram) - n + 1]
-    return out ^ np.uint64(n), known
-
-
-def _planes(x: np.ndarray) -> bytes:
-    """All low bytes, then all next ones: small numbers leave planes of zeros, which compress well."""
-    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
-
-
-def _from_planes(raw: bytes, kind: str) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind)[:, 0]
+    return out ^ T.mix(np.uint64([n])), known
 
 
-def pack(hashes: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
-    """Ascending 48-bit hashes as low words and differences of high ones, and counts."""
-    high = np.diff((hashes >> np.uint64(32)).astype(np.int64), prepend=0).astype("<u2")
-    return (hashes & _LOW).astype("<u4").tobytes(), zlib.compress(_planes(high) + _planes(counts.astype("<u4")), 1)
+def pack(hashes: np.ndarray, counts: np.ndarray) -> tuple[bytes]:
+    """Ascending hashes and their counts as one value."""
+    return (X.packed(X.deltas(hashes), counts.astype("<u4")),)
 
 
-def unpack(low: bytes, rest: bytes) -> tuple[np.ndarray, np.ndarray]:
-    lows = np.frombuffer(low, "<u4").astype(np.uint64)
-    raw = zlib.decompress(rest)
-    high = np.cumsum(_from_planes(raw[: 2 * len(lows)], "<u2").astype(np.uint64), dtype=np.uint64)
-    return high << np.uint64(32) | lows, _from_planes(raw[2 * len(lows) :], "<u4")
+def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    delta, counts = X.unpacked(data, "<u8", "<u4")
+    return X.from_deltas(delta), counts
 
 
 class Exploded:
-    """The n-grams of a batch: where each word's n-grams lie among the distinct ones."""
-
-    def __init__(self, column: pa.Array, order: int, buckets: int):
-        data, at = T.texts(column)
-        w = T.words(T.Piece(0, len(at) - 1, data, at))
-        self.at, self.n = w.at, len(w.hash)
-        self.known, self.places, grams, base = [], [], [], 0
-        for n in range(1, order + 1):
-            h, known = _ngrams(w, n)
-            found, place = np.unique(h[known], return_inverse=True)
-            self.known.append(known)
-            self.places.append(place + base)
-            grams.append(found)
-            base += len(found)
-        every = np.concatenate(grams)
-        self.bucket = (every % np.uint64(buckets)).astype(np.int64)
-        value = every >> np.uint64(16)
-        self.order = np.lexsort((value, self.bucket))
-        self.value = value[self.order]
-        self.counts = np.bincount(np.concatenate(self.places), minlength=base)[self.order]
-        self.bounds = np.searchsorted(self.bucket[self.order], np.arange(buckets + 1))
-
-    def totals(self, answers: dict[int, np.ndarray]) -> np.ndarray:
-        out = np.zeros(len(self.order), np.int64)
-        for bucket, found in answers.items():
-            out[self.order[self.bounds[bucket] : self.bounds[bucket + 1]]] = found
-        return out
+    """The n-grams of a batch: where each word's n-grams lie among the distinct ones, which ascend."""
+
+    def __init__(self, column: pa.Array, order: int, buckets: X.Buckets):
+        hashes, known, size = [[] for _ in range(order)], [[] for _ in range(order)], []
+        for piece in T.pieces(column):
+            w = T.words(piece)
+            size.append(np.diff(w.at))
+            for n in range(order):
+                h, k = _ngrams(w, n + 1)
+                hashes[n].append(buckets.kept_of(h[k]))
+                known[n].append(k)
+        self.at = np.append(0, np.cumsum(np.concatenate(size))) if size else np.zeros(1, np.int64)
+        self.n = int(self.at[-1])
+        self.known = [np.concatenate(k) if k else np.zeros(0, bool) for k in known]
+        flat = [h for of in hashes for h in of]
+        every = np.concatenate(flat) if flat else np.zeros(0, np.uint64)
+        self.distinct, place, self.counts = np.unique(every, return_inverse=True, return_counts=True)
+        self.places = np.split(place, np.cumsum([int(k.sum()) for k in self.known])[:-1])
 
 
 def _scores(e: Exploded, total: np.ndarray, words: int, least: int, backoff: float) -> tuple[np.ndarray, np.ndarray]:
@@ -116,46 +92,24 @@ def _scores(e: Exploded, total: np.ndarray, words: int, least: int, backoff: flo
     return np.diff(e.at), sums[e.at[1:]] - sums[e.at[:-1]]
 
 
-def scores(docs: DataFrame, *, order: int = ORDER, least: int = LEAST, backoff: float = BACKOFF, batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def scores(docs: DataFrame, *, order: int = ORDER, least: int = LEAST, backoff: float = BACKOFF, batch_bytes: int = BATCH_BYTES, bucket_bytes: int = X.BUCKET_BYTES) -> DataFrame:
     """doc_id, n_words, log_score (the sum) and score (the mean) for each row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.coalesce(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))), F.lit(0)).alias("words")).first()
-    batches, buckets, words = 1 + size["bytes"] // batch_bytes, 1 + size["bytes"] // bucket_bytes, size["words"]
-    dealt = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)))
-
-    def explode(table: pa.Table) -> pa.Table:
-        e, batch = Exploded(table.column("text"), order, buckets), table.column("batch")[0].as_py()
-        rows = []
-        for bucket in np.flatnonzero(np.diff(e.bounds)).tolist():
-            lo, hi = e.bounds[bucket], e.bounds[bucket + 1]
-            # two n-grams of a bucket with one hash are one entry twice: each is answered
-            rows.append((bucket, batch, *pack(e.value[lo:hi], e.counts[lo:hi])))
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-        columns = zip(*rows, strict=True) if rows else ((),) * 4
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["bucket", "batch", "low", "rest"])
-
-    def answer(table: pa.Table) -> pa.Table:
-        parts = [unpack(a, b) for a, b in zip(table.column("low").to_pylist(), table.column("rest").to_pylist(), strict=True)]
-        every = np.concatenate([h for h, _ in parts])
-        counts = np.concatenate([c for _, c in parts]).astype(np.int64)
-        by = np.argsort(every, kind="stable")
-        ordered = every[by]
-        first = np.append(True, ordered[1:] != ordered[:-1])
-        total = np.add.reduceat(counts[by], np.flatnonzero(first))
-        out = np.empty(len(every), "<u4")
-        out[by] = total[np.cumsum(first) - 1]
-        at = np.cumsum([0] + [len(h) for h, _ in parts])
-        blobs = [zlib.compress(_planes(out[at[k] : at[k + 1]]), 1) for k in range(len(parts))]
-        return pa.Table.from_arrays([table.column("bucket"), table.column("batch"), pa.array(blobs, pa.binary())], ["bucket", "batch", "totals"])
-
-    def sum_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        e = Exploded(left.column("text"), order, buckets)
-        answers = {b: _from_planes(zlib.decompress(x), "<u4") for b, x in zip(right.column("bucket").to_pylist(), right.column("totals").to_pylist(), strict=True)}
-        n, total = _scores(e, e.totals(answers), max(words, 1), least, backoff)
+    buckets, words = X.Buckets(size["bytes"], batch_bytes, bucket_bytes), size["words"]
+
+    def send(table: pa.Table) -> list[tuple[int, bytes]]:
+        e = Exploded(table.column("text"), order, buckets)
+        return [(k, *pack(e.distinct[lo:hi], e.counts[lo:hi])) for k, lo, hi in buckets.parts(e.distinct)]
+
+    def take(table: pa.Table, answers: dict[int, bytes]) -> pa.Table:
+        e = Exploded(table.column("text"), order, buckets)
+        totals = np.zeros(len(e.distinct), np.int64)
+        for k, lo, hi in buckets.parts(e.distinct):
+            totals[lo:hi] = X.unpacked(answers[k], "<u4")[0]
+        n, total = _scores(e, totals, max(words, 1), least, backoff)
         some = n > 0
         mean = pa.array(total / np.maximum(n, 1), mask=~some)
-        return pa.Table.from_arrays([left.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(total, mask=~some), mean], ["doc_id", "n_words", "log_score", "score"])
+        return pa.Table.from_arrays([table.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(total, mask=~some), mean], ["doc_id", "n_words", "log_score", "score"])
 
-    moved = dealt.groupBy("batch").applyInArrow(explode, "bucket long, batch long, low binary, rest binary")
-    answers = moved.groupBy("bucket").applyInArrow(answer, "bucket long, batch long, totals binary")
-    return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(sum_up, "doc_id long, n_words long, log_score double, score double")
+    return X.round_trip(docs, buckets, send, X.totals, take, "doc_id long, n_words long, log_score double, score double")

@@ -130,16 +130,6 @@ def _measured(docs: DataFrame, n: int, ratio: tuple[int, int]) -> DataFrame:
         kept, count = buckets.kept_of(found.distinct << spare), found.count.astype("<u4")
         return [(k, X.packed(X.deltas(kept[lo:hi]), count[lo:hi])) for k, lo, hi in buckets.parts(kept)]
 
-    def answer(rows: list[bytes]) -> list[bytes]:
-        parts = [X.unpacked(r, "<u8", "<u4") for r in rows]
-        every, count = np.concatenate([X.from_deltas(h) for h, _ in parts]), np.concatenate([c for _, c in parts]).astype(np.int64)
-        order = np.argsort(every)
-        first = np.append(True, np.diff(every[order]) != 0)
-        total = np.minimum(np.add.reduceat(count[order], np.flatnonzero(first)), 2**32 - 1)
-        out = np.empty(len(every), "<u4")
-        out[order] = total[np.cumsum(first) - 1]
-        return [X.packed(part) for part in np.split(out, np.cumsum([len(h) for h, _ in parts])[:-1])]
-
     def take(table: pa.Table, answers: dict[int, bytes]) -> pa.Table:
         found, ids = _Sets(table, n), table.column("doc_id").combine_chunks()
         total = np.zeros(len(found.distinct), np.int64)
@@ -164,7 +154,7 @@ def _measured(docs: DataFrame, n: int, ratio: tuple[int, int]) -> DataFrame:
         tables = [pa.Table.from_arrays([part[f.name].cast(f.type) if f.name in part else pa.nulls(len(part["n"]), f.type) for f in _MEASURED], schema=_MEASURED) for part in (own, prefix)]
         return pa.concat_tables(tables)
 
-    return X.round_trip(docs, buckets, send, answer, take, MEASURED)
+    return X.round_trip(docs, buckets, send, X.totals, take, MEASURED)
 
 
 def _may_link(num: int, den: int) -> Column:
