@@ -59,7 +59,7 @@ class Buckets:
         """Bucket, begin and end of the kept hashes of each bucket that has some."""
         bucket = ascending >> np.uint64(self.kept - self.bits)
         first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)])
-        ends = np.append(first[1:], len(bucket))
+        ends = np.append(first[1:], len(bucket))[: len(first)]
         yield from zip(bucket[first].tolist(), first.tolist(), ends.tolist(), strict=True)
 
 

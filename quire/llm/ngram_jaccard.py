@@ -29,9 +29,10 @@ So the components are those of all links, although links inside a component that
 known need not be tried. :func:`links` tries them all and gives each link itself.
 
 Defined results: without words or text a document has no shingles, is linked with nothing
-and is its own component; fewer than n words are one shingle; rows that repeat a doc_id are
-one node of the graph; a row without doc_id links with nothing and has a null component; an
-empty table gives no rows; columns other than doc_id and text are ignored.
+and is its own component; fewer than n words are one shingle; doc_id is a whole number; rows that repeat a doc_id are
+one node of the graph; a row without doc_id links with nothing and has a null component; documents whose similarity is
+the ratio itself link; an empty table gives no rows; columns other than doc_id and text are ignored; a long text is a set
+in memory, of some hundred bytes for each of its words.
 """
 
 from __future__ import annotations
@@ -119,10 +120,10 @@ class _Sets:
         self.whole = whole
 
 
-def _measured(docs: DataFrame, n: int, ratio: tuple[int, int]) -> DataFrame:
+def _measured(docs: DataFrame, n: int, ratio: tuple[int, int], batch_bytes: int, bucket_bytes: int) -> DataFrame:
     """A row for each document (gram null), with the whole set of those that have rows for n-grams of their prefix."""
     num, den = ratio
-    buckets = X.Buckets(X.text_bytes(docs))
+    buckets = X.Buckets(X.text_bytes(docs), batch_bytes, bucket_bytes)
     spare = np.uint64(64 - 52)
 
     def send(table: pa.Table) -> list[tuple[int, bytes]]:
@@ -221,11 +222,11 @@ def _sets(measured: DataFrame) -> DataFrame:
     return measured.where("values IS NOT NULL").select(F.col("doc_id").alias("doc"), "values")
 
 
-def joined(docs: DataFrame, *, n: int = 4, ratio: tuple[int, int] = (85, 100)) -> DataFrame:
+def joined(docs: DataFrame, *, n: int = 4, ratio: tuple[int, int] = (85, 100), batch_bytes: int = X.BATCH_BYTES, bucket_bytes: int = X.BUCKET_BYTES) -> DataFrame:
     """doc_id, n_shingles, component_id and class_id (the smallest doc_id of an equal set) for each row of docs."""
     num, den = ratio
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    measured = written(_measured(docs, n, ratio), "measured")
+    measured = written(_measured(docs, n, ratio, batch_bytes, bucket_bytes), "measured")
     classes, rows = _candidates(measured, num, den)
     sets = _sets(measured)
 
@@ -261,7 +262,7 @@ def joined(docs: DataFrame, *, n: int = 4, ratio: tuple[int, int] = (85, 100)) -
     return result
 
 
-def links(docs: DataFrame, *, n: int = 4, ratio: tuple[int, int] = (85, 100)) -> DataFrame:
+def links(docs: DataFrame, *, n: int = 4, ratio: tuple[int, int] = (85, 100), batch_bytes: int = X.BATCH_BYTES, bucket_bytes: int = X.BUCKET_BYTES) -> DataFrame:
     """(a, b): every link of two classes of equal sets, by their smallest doc_ids, a < b.
 
     All pairs within a component are tried, so a large group of edited copies takes as many rows as it has pairs.
@@ -269,7 +270,7 @@ def links(docs: DataFrame, *, n: int = 4, ratio: tuple[int, int] = (85, 100)) ->
     """
     num, den = ratio
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    measured = written(_measured(docs, n, ratio), "measured")
+    measured = written(_measured(docs, n, ratio, batch_bytes, bucket_bytes), "measured")
     _, rows = _candidates(measured, num, den)
     other = rows.select("gram", *(F.col(c).alias(f"{c}2") for c in ("doc", "n", "pos")))
     tried = written(_pairs(rows.join(other, "gram").where("doc < doc2"), num, den), "pairs")

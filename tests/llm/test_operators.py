@@ -17,21 +17,6 @@ from quire.llm._graph import components
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-@pytest.fixture(scope="session")
-def documents(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
-
-@pytest.fixture(scope="session")
-def labels(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/labels.parquet")
-
-
-@pytest.fixture(scope="session")
-def texts(documents):
-    return {r["doc_id"]: r["text"] for r in documents.select("doc_id", "text").collect()}
-
-
 def path(name):
     return pytest.importorskip("public_tokenizers").path(name)
 
