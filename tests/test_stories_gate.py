@@ -154,6 +154,24 @@ def test_job_stream(spark, tmp_path):
     assert [(r["job_id"], r["status"]) for r in spark.table("states").collect()] == [("a", "completed")]
 
 
+def test_job_stream_expires_an_hour_after_upload(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    files = [
+        [("a", "uploaded", "00:50"), ("b", "uploaded", "00:55")],
+        [("a", "processing", "01:10"), ("b", "completed", "01:20")],
+        [("c", "uploaded", "02:02")],  # the watermark passes a's hour, not b's
+        [("d", "uploaded", "02:30")],
+        [("d", "failed", "02:31")],
+    ]
+    for k, rows in enumerate(files):
+        (tmp_path / "in" / f"{k}.json").write_text("".join(f'{{"job_id":"{j}","status":"{s}","ts":"2024-01-01T{t}:00Z"}}\n' for j, s, t in rows))
+        query = SJ.expiring_states(SJ.read_events(spark, str(tmp_path / "in"))).writeStream.outputMode("update").foreachBatch(lambda df, n: df.write.mode("append").parquet(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+    rows = [(r["job_id"], r["status"], r["expired"], str(r["created_at"])[11:16]) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert {r for r in rows if r[2]} == {("a", "processing", True, "00:50"), ("b", "completed", True, "00:55")}
+    assert {("a", "uploaded", False, "00:50"), ("a", "processing", False, "00:50"), ("b", "completed", False, "00:55"), ("c", "uploaded", False, "02:02"), ("d", "failed", False, "02:30")} <= set(rows)
+
+
 def test_cover_placeholders(spark):
     schema = "doc string, page_no int, item_no int, x double, y double, w double, h double"
     empty = spark.createDataFrame([("d", 1, 1, 50.0, 200.0, 400.0, 30.0), ("d", 1, 2, 50.0, 100.0, 400.0, 30.0), ("d", 1, 3, 50.0, 50.0, 100.0, 30.0), ("d", 1, 4, 50.0, 390.0, 400.0, 30.0)], schema)
