@@ -10,10 +10,11 @@ As the embedding and the filters are linear, what a filter gives for a pair of b
 place is a look-up in a table of all pairs; four bytes take two look-ups.
 
 Training uses a bounded sample of every language: at most ``sample`` documents in all, as evenly
-over the languages as they allow, or EACH of a language where these are more; two windows of each. Held-out rows, and rows without doc_id, text
+over the languages as they allow, or EACH of a language where these are more; two windows of each, from any place of its text. Held-out rows, and rows without doc_id, text
 or language, teach nothing. Defined results: a text that is null or has no letter is ``und``
 with score 0; repeated rows are judged alike; without any row to learn from, all are ``und``;
-only text is an input of a prediction, and other columns are ignored.
+of equal probabilities the first language by name is taken; an empty table gives no rows; doc_id is a whole number; a long text is
+windowed whole, piece by piece; only text is an input of a prediction, and other columns are ignored.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ A length may hold a large part of all pieces, so ranks are dealt in two steps: w
 and a hashed part of it, and then from the counts of the parts before.
 
 Defined results: a null or empty text is one piece of the end id alone; repeated rows are
-packed each for itself; an empty table gives no rows; columns other than doc_id and text are ignored.
+packed each for itself; doc_id is a whole number or null; of equal lengths the order decides who takes which slot; an empty table gives
+no rows; columns other than doc_id and text are ignored; a long text is cut into as many pieces as it needs, its ids in memory at once.
 """
 
 from __future__ import annotations
@@ -104,10 +105,12 @@ def pack(items: DataFrame, *, capacity: int = CAPACITY, order: tuple[str, ...] =
     rows, _ = plan(counts, capacity)
     spark = items.sparkSession
     parts = max(LEAST_PARTS, sum(counts.values()) // PART_ROWS)
-    dealt = items.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)))
+    # By all columns, so that rows without doc_id are dealt out as well; rows equal in all of them may swap places.
+    rest = [c for c, kind in items.dtypes if c not in order and kind != "binary"]
+    dealt = items.withColumn("_part", F.pmod(F.xxhash64(*order, *rest), F.lit(parts)))
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = dealt.groupBy("length", "_part").count().select("length", "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_part").orderBy(*order)) - 1)
+    ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_part").orderBy(*order, *rest)) - 1)
     ranked = ranked.join(sizes, ["length", "_part"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
     slots = spark.createDataFrame(rows, PLAN_SCHEMA).withColumnRenamed("length", "_length")  # bounded: a few rows for each length
     found = ranked.join(F.broadcast(slots), (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("lo")) & (F.col("_rank") < F.col("lo") + F.col("count")))
