@@ -9,18 +9,21 @@ from __future__ import annotations
 import io
 import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import METADATA_FONTS, is_noise, is_readable, normalized, without_controls
+from ..functions.text import METADATA_FONTS, noisy, normalized, readable, without_controls
 from ..operators.sequences import take_until
 
 # Fixed values of the compound file format.
 SIGNATURE = bytes.fromhex("d0cf11e0a1b11ae1")
 FREE, END = 0xFFFFFFFF, 0xFFFFFFFE
+#: What reading a damaged file may raise.
+BROKEN = (ValueError, struct.error, IndexError, KeyError, OverflowError, EOFError, RuntimeError, NotImplementedError, zipfile.BadZipFile, zlib.error)
 TYPES = {1: "storage", 2: "stream", 5: "root"}
 
 
@@ -35,7 +38,11 @@ class Compound:
         self.sector, self.mini = 1 << shift, 1 << mini
         directory, self.cutoff, mini_fat, _, difat, _ = struct.unpack_from("<I4xIIIII", raw, 48)
         fat_sectors = list(struct.unpack_from("<109I", raw, 76))
+        seen = set()
         while difat not in (FREE, END):
+            if difat in seen:
+                raise ValueError("the sector lists form a ring")
+            seen.add(difat)
             more = struct.unpack_from(f"<{self.sector // 4}I", raw, (difat + 1) * self.sector)
             fat_sectors += more[:-1]
             difat = more[-1]
@@ -115,7 +122,7 @@ def entries(files: DataFrame) -> DataFrame:
             else:
                 with zipfile.ZipFile(io.BytesIO(raw)) as z:
                     found = [(i.filename, i.filename.rstrip("/").rsplit("/", 1)[-1], "storage" if i.is_dir() else "stream", i.file_size) for i in z.infolist()]
-        except (ValueError, struct.error, IndexError, zipfile.BadZipFile):
+        except BROKEN:
             found = []
         for number, (path, name, kind, size) in enumerate(found):
             yield number, path.removesuffix("/") or "/", name, kind, size
@@ -134,7 +141,7 @@ def canonical_streams(files: DataFrame, path: str = "Root Entry/Quill/QuillSub/C
     def rows_of(raw: bytes) -> Iterator[tuple]:
         try:
             box = Compound(raw)
-        except (ValueError, struct.error, IndexError):
+        except BROKEN:
             return
         named = [e for e in box.entries if e["path"] == path] or [e for e in box.entries if e["name"] == "CONTENTS" and e["size"] > least]
         if named:
@@ -150,5 +157,5 @@ def canonical_paragraphs(streams: DataFrame, marker: str | None = None, fonts: t
         at = F.instr(text, marker)
         text = F.when(at > 0, F.substring(text, at, F.length(text))).otherwise(text)
     parts = F.transform(F.split(F.translate(without_controls(text), "\n", "\r"), "\r+"), normalized)
-    kept = F.filter(take_until(F.col("parts"), lambda p: is_noise(p, fonts)), is_readable)
+    kept = F.filter(take_until(F.col("parts"), lambda p: noisy(p, fonts)), readable)
     return streams.select("doc_id", parts.alias("parts")).select("doc_id", F.posexplode(kept).alias("para_no", "text"))
