@@ -60,15 +60,65 @@ def color_distance(one: str = "", two: str = "_b") -> Column:
     return total
 
 
-def pixel_diff(reference: DataFrame, candidate: DataFrame, by: Sequence[str], threshold: float = 0.3) -> DataFrame:
+def _around(name_x: str = "x", name_y: str = "y") -> Column:
+    """The eight places around one, numbered by column and then by row."""
+    places = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy]
+    return F.array(*(F.struct(F.lit(k).alias("k"), (F.col(name_x) + dx).alias("nx"), (F.col(name_y) + dy).alias("ny")) for k, (dx, dy) in enumerate(places)))
+
+
+def anti_aliased(both: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by, x, y of the pixels of ``both`` with ``differs`` that only soften an edge in one of the images.
+
+    Such a pixel lies between a darkest and a brightest of its neighbours, has few neighbours of its own brightness, and one of
+    these two has, in both images, three neighbours or more of its own colour. both: by, x, y, r, g, b, a and the same with _b, one row for
+    each pixel of a page. Only neighbours of differing pixels are joined.
+    """
+
+    def light(suffix: str) -> Column:
+        return sum(((255.0 + (F.col(f"{c}{suffix}") - 255.0) * F.col(f"a{suffix}") / 255.0) * w for c, w in zip("rgb", YIQ[0], strict=True)), F.lit(0.0))
+
+    def color(suffix: str) -> Column:
+        return F.struct(*(F.col(f"{c}{suffix}") for c in "rgba"))
+
+    size = both.groupBy(*by).agg(F.max("x").alias("_mx"), F.max("y").alias("_my"))
+    pixels = both.select(*by, "x", "y", light("").alias("_la"), light("_b").alias("_lb"), color("").alias("_ca"), color("_b").alias("_cb"), "differs")
+    other = pixels.select(*by, F.col("x").alias("nx"), F.col("y").alias("ny"), *(F.col(c).alias(f"{c}n") for c in ("_la", "_lb", "_ca", "_cb")))
+    edge = ((F.col("x") == 0) | (F.col("y") == 0) | (F.col("x") == F.col("_mx")) | (F.col("y") == F.col("_my"))).cast("int")
+
+    near = pixels.where("differs").select(*by, "x", "y", "_la", "_lb", F.inline(_around())).join(other, [*by, "nx", "ny"])
+    picks = []
+    for side in "ab":
+        delta = F.col(f"_l{side}") - F.col(f"_l{side}n")
+        place = [F.col("k"), F.col("nx"), F.col("ny")]
+        picks += [F.count_if(delta == 0).alias(f"_same_{side}"), F.min(F.when(delta < 0, F.struct(delta.alias("d"), *place))).alias(f"_low_{side}"), F.min(F.when(delta > 0, F.struct((-delta).alias("d"), *place))).alias(f"_high_{side}")]
+    found = near.groupBy(*by, "x", "y").agg(*picks).join(size, list(by)).withColumn("_edge", edge)
+
+    def ends(side: str) -> Column:
+        """The darkest and the brightest neighbour, if there are both and few neighbours are as bright."""
+        low, high = F.col(f"_low_{side}"), F.col(f"_high_{side}")
+        good = (F.col(f"_same_{side}") + F.col("_edge") <= 2) & low.isNotNull() & high.isNotNull()
+        return F.when(good, F.array(*(F.struct(e["nx"].alias("px"), e["ny"].alias("py")) for e in (low, high)))).otherwise(F.array())
+
+    asked = found.select(*by, "x", "y", F.inline(F.concat(ends("a"), ends("b"))))
+    places = asked.select(*by, F.col("px").alias("x"), F.col("py").alias("y")).distinct().join(pixels.select(*by, "x", "y", "_ca", "_cb"), [*by, "x", "y"]).join(size, list(by)).withColumn("_edge", edge)
+    alike = places.select(*by, "x", "y", "_ca", "_cb", "_edge", F.inline(_around())).join(other, [*by, "nx", "ny"]).groupBy(*by, "x", "y", "_edge").agg(F.count_if(F.col("_ca") == F.col("_can")).alias("_a"), F.count_if(F.col("_cb") == F.col("_cbn")).alias("_b"))
+    many = alike.where((F.col("_a") + F.col("_edge") > 2) & (F.col("_b") + F.col("_edge") > 2)).select(*by, F.col("x").alias("px"), F.col("y").alias("py"))
+    return asked.join(many, [*by, "px", "py"], "left_semi").select(*by, "x", "y").distinct()
+
+
+def pixel_diff(reference: DataFrame, candidate: DataFrame, by: Sequence[str], threshold: float = 0.3, *, count_anti_aliased: bool = True) -> DataFrame:
     """Per page: differing and total pixels and their ratio; a pixel that one side lacks is white.
 
-    Pixels that only differ by anti-aliasing count here, which the public algorithm can exclude.
+    Pixels that only differ by anti-aliasing count, unless count_anti_aliased is false; pages must then have all their pixels.
     """
     right = candidate.select(*by, "x", "y", *(F.col(c).alias(f"{c}_b") for c in "rgba"))
     both = reference.select(*by, "x", "y", "r", "g", "b", "a").join(right, [*by, "x", "y"], "full_outer").fillna(255)
-    differs = color_distance() > YIQ_MOST * threshold * threshold
-    return both.groupBy(*by).agg(F.count_if(differs).alias("differing_pixels"), F.count("*").alias("total_pixels")).withColumn("mismatch_ratio", F.col("differing_pixels") / F.col("total_pixels"))
+    both = both.withColumn("differs", color_distance() > YIQ_MOST * threshold * threshold)
+    counts = both.groupBy(*by).agg(F.count_if("differs").alias("differing_pixels"), F.count("*").alias("total_pixels"))
+    if not count_anti_aliased:
+        soft = anti_aliased(both, by).groupBy(*by).agg(F.count("*").alias("_soft"))
+        counts = counts.join(soft, list(by), "left").withColumn("differing_pixels", F.col("differing_pixels") - F.coalesce("_soft", F.lit(0))).drop("_soft")
+    return counts.withColumn("mismatch_ratio", F.col("differing_pixels") / F.col("total_pixels"))
 
 
 def page_verdict(tolerant: Column, mismatch: Column, most: float = MOST_RAW) -> Column:

@@ -198,3 +198,56 @@ def test_totals_and_counts(spark):
     assert tuple(G.wrap_counts(items, ["doc"]).first())[1:3] == (2, 1)
     entries = spark.createDataFrame([("d", "b/x"), ("d", "a"), ("d", "b/y")], "doc string, path string")
     assert tuple(G.entry_summary(entries, ["doc"]).first()) == ("d", ["a", "b/x", "b/y"], ["a", "b"], 3)
+
+
+def test_anti_aliased_pixels_like_loops(spark):
+    import random
+
+    def loops(one, two, w, h, threshold):
+        """Differing pixels that no image only softens an edge with."""
+
+        def blend(c):
+            return [255 + (v - 255) * c[3] / 255 for v in c[:3]]
+
+        def light(img, x, y):
+            return sum(v * k for v, k in zip(blend(img[x, y]), R.YIQ[0], strict=True))
+
+        def around(x, y):
+            return [(i, j) for i in range(max(x - 1, 0), min(x + 1, w - 1) + 1) for j in range(max(y - 1, 0), min(y + 1, h - 1) + 1) if (i, j) != (x, y)]
+
+        def on_edge(x, y):
+            return x in (0, w - 1) or y in (0, h - 1)
+
+        def many(img, x, y):
+            return on_edge(x, y) + sum(img[p] == img[x, y] for p in around(x, y)) > 2
+
+        def soft(img, x, y):
+            deltas = [(light(img, x, y) - light(img, *p), p) for p in around(x, y)]
+            low, high = (min((d for d in deltas if d[0] < 0), key=lambda d: d[0], default=None), max((d for d in deltas if d[0] > 0), key=lambda d: d[0], default=None))
+            if on_edge(x, y) + sum(d == 0 for d, _ in deltas) > 2 or not low or not high:
+                return False
+            return any(many(one, *p) and many(two, *p) for _, p in (low, high))
+
+        count = 0
+        for p in one:
+            a, b = blend(one[p]), blend(two[p])
+            far = sum(share * sum((u - v) * k for u, v, k in zip(a, b, weights, strict=True)) ** 2 for weights, share in zip(R.YIQ, R.YIQ_WEIGHTS, strict=True))
+            count += far > R.YIQ_MOST * threshold**2 and not soft(one, *p) and not soft(two, *p)
+        return count
+
+    rng, pages, want, plain = random.Random(5), [], {}, 0
+    for page in range(6):  # shapes of few colours, with softened pixels at their edges
+        w, h = 12, 9
+        one = {(x, y): (0, 0, 0, 255) if x + y * page % 5 < 6 else (255, 255, 255, 255) for x in range(w) for y in range(h)}
+        two = dict(one)
+        for img in (one, two):
+            for p in rng.sample(sorted(img), 20):
+                v = rng.choice([60, 128, 200])
+                img[p] = (v, v, v, rng.choice([255, 255, 100]))
+        pages += [(page, x, y, *one[x, y], *two[x, y]) for x, y in one]
+        want[page] = loops(one, two, w, h, 0.1)
+    table = spark.createDataFrame(pages, "page int, x int, y int, r int, g int, b int, a int, r2 int, g2 int, b2 int, a2 int")
+    left, right = table.select("page", "x", "y", *"rgba"), table.select("page", "x", "y", *(F.col(f"{c}2").alias(c) for c in "rgba"))
+    got = {r["page"]: r["differing_pixels"] for r in R.pixel_diff(left, right, ["page"], 0.1, count_anti_aliased=False).collect()}
+    plain = {r["page"]: r["differing_pixels"] for r in R.pixel_diff(left, right, ["page"], 0.1).collect()}
+    assert got == want and any(got[k] < plain[k] for k in got)
