@@ -8,9 +8,10 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: While a table is written: shuffle files of what runs go when it ends, as nothing reads them once the table is
-#: there; and small tables get few files, by their size and not by the number of cores.
-_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+#: While a table is written, shuffle files of what runs go when it ends, as nothing reads them once the table is there.
+_FREED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: Small tables get few files, by their size and not by the number of cores.
+_FEW_FILES = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
 
 
 def shared(spark: SparkSession) -> str:
@@ -22,9 +23,9 @@ def shared(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _settings(spark: SparkSession) -> Iterator[None]:
-    before = {k: spark.conf.get(k, None) for k in _SETTINGS}
-    for k, v in _SETTINGS.items():
+def _settings(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
         spark.conf.set(k, v)
     try:
         yield
@@ -33,15 +34,16 @@ def _settings(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, *, few_files: bool = True) -> DataFrame:
     """df, computed once: written as Parquet to the shared folder and read again.
 
     A lost executor costs no more than the running stage, and later steps read the table
-    instead of computing it again. The shuffle files behind it are freed.
+    instead of computing it again. The shuffle files behind it are freed. few_files: partitions by their
+    size alone; not for what takes much computing for its size.
     """
     spark = df.sparkSession
     path = f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
-    with _settings(spark):
+    with _settings(spark, _FREED | _FEW_FILES if few_files else _FREED):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path

@@ -226,7 +226,7 @@ def joined(docs: DataFrame, *, n: int = 4, ratio: tuple[int, int] = (85, 100), b
     """doc_id, n_shingles, component_id and class_id (the smallest doc_id of an equal set) for each row of docs."""
     num, den = ratio
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    measured = written(_measured(docs, n, ratio, batch_bytes, bucket_bytes), "measured")
+    measured = written(_measured(docs, n, ratio, batch_bytes, bucket_bytes), "measured", few_files=False)
     classes, rows = _candidates(measured, num, den)
     sets = _sets(measured)
 
@@ -236,7 +236,7 @@ def joined(docs: DataFrame, *, n: int = 4, ratio: tuple[int, int] = (85, 100), b
     picks = rows.join(share, "doc").groupBy("gram").agg(F.min(F.struct((-F.col("share")).alias("h"), *member)).alias("one"), F.min(F.struct(F.xxhash64("doc").cast("double").alias("h"), *member)).alias("two"))
     near = rows.join(picks, "gram").select("doc", "n", "pos", F.inline(F.array_distinct(F.array("one", "two"))))
     tried = written(_pairs(near, num, den), "pairs")
-    links = written(_verified(tried, sets, ratio), "links")
+    links = written(_verified(tried, sets, ratio), "links", few_files=False)
 
     labels = components(links).select(F.col("node").alias("doc"), F.col("component").alias("label"))
     named = written(rows.join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc")), "named")
@@ -251,7 +251,7 @@ def joined(docs: DataFrame, *, n: int = 4, ratio: tuple[int, int] = (85, 100), b
     fits = most * (num + den) >= (F.col("n") + F.col("n2")).cast("long") * num
     across = left.join(right, "gram").where((F.col("label") < F.col("label2")) & fits)
     rest = written(_pairs(across, num, den).join(tried, ["a", "b"], "left_anti"), "pairs")
-    found = components(links.union(written(_verified(rest, sets, ratio), "links")))
+    found = components(links.union(written(_verified(rest, sets, ratio), "links", few_files=False)))
 
     own = measured.where("gram IS NULL").select("doc_id", "n", "s1", "s2")
     reps = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -270,7 +270,7 @@ def links(docs: DataFrame, *, n: int = 4, ratio: tuple[int, int] = (85, 100), ba
     """
     num, den = ratio
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    measured = written(_measured(docs, n, ratio, batch_bytes, bucket_bytes), "measured")
+    measured = written(_measured(docs, n, ratio, batch_bytes, bucket_bytes), "measured", few_files=False)
     _, rows = _candidates(measured, num, den)
     other = rows.select("gram", *(F.col(c).alias(f"{c}2") for c in ("doc", "n", "pos")))
     tried = written(_pairs(rows.join(other, "gram").where("doc < doc2"), num, den), "pairs")
