@@ -45,6 +45,9 @@ def polygon_box(command: Column) -> Column:
     return F.when((F.size(xs) > 0) & (F.size(ys) > 0), box)
 
 
+# The thresholds of the predicates and the band below, in points and in shares of a page.
+
+
 def is_figure(x: Column, y: Column, w: Column, h: Column, page_w: Column, page_h: Column) -> Column:
     """Large enough to wrap text around: no rule, logo or footer decoration."""
     logo = (y < 80) & (w < page_w * 0.45) & (h < 90)

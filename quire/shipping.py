@@ -8,7 +8,8 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
-_sent: set[str] = set()
+#: Of each application, the folder from which the driver serves the file; it goes when the driver ends.
+_sent: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -17,12 +18,13 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _sent:
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="quire-")), "quire_modules.zip")
+    folder = tempfile.TemporaryDirectory(prefix="quire-")
+    path = os.path.join(os.path.realpath(folder.name), "quire_modules.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
-        for folder, _, files in os.walk(root):
+        for at, _, files in os.walk(root):
             for name in sorted(files):
                 if name.endswith(".py"):
-                    whole = os.path.join(folder, name)
+                    whole = os.path.join(at, name)
                     out.write(whole, os.path.join(os.path.basename(root), os.path.relpath(whole, root)))
     context.addPyFile(path)
-    _sent.add(context.applicationId)
+    _sent[context.applicationId] = folder
