@@ -18,10 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text in a batch, and of text behind a bucket, about.
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 6_000_000
 BUCKET_BYTES = 4_000_000
-#: Low bits beyond the number of words: so many times rarer than words are false meetings.
-SPARE_BITS = 20
+#: Bits of a hash beyond those that number the bytes: two to this power times rarer than bytes are false meetings.
+SPARE_BITS = 16
 
 
 def packed(*arrays: np.ndarray) -> bytes:
@@ -46,11 +46,11 @@ def _planes(x: np.ndarray) -> bytes:
 class Buckets:
     """How hashes fall into buckets: by their first bits, so that ascending hashes are buckets in order."""
 
-    def __init__(self, size: int, batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES):
+    def __init__(self, size: int, batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES, spare_bits: int = SPARE_BITS):
         self.batches = 1 + size // batch_bytes
         self.bits = max((size // bucket_bytes).bit_length(), 1)
         #: Hashes keep so many of their first bits: enough for as many words as there can be bytes.
-        self.kept = min(64, max(size, 1).bit_length() + SPARE_BITS)
+        self.kept = min(64, max(size, 1).bit_length() + spare_bits)
 
     def kept_of(self, hashes: np.ndarray) -> np.ndarray:
         return hashes >> np.uint64(64 - self.kept)

@@ -8,8 +8,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: While a table is written, shuffle files of what runs go when it ends, as nothing reads them once the table is there.
-_FREED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: While a table is written, shuffle files of what runs go when it ends, as nothing reads them once the table is there;
+#: and Python gets texts by the thousand, which bounds the buffers on both sides.
+_FREED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 #: Small tables get few files, by their size and not by the number of cores.
 _FEW_FILES = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
 

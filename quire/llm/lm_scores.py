@@ -35,6 +35,8 @@ LEAST = 2
 BACKOFF = 0.4
 #: Bytes of text in a batch, about.
 BATCH_BYTES = 6_000_000
+#: Counts are to be those of the n-grams, so two of one hash should not be, in any table.
+SPARE_BITS = 24
 
 
 def _ngrams(w: T.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +98,7 @@ def scores(docs: DataFrame, *, order: int = ORDER, least: int = LEAST, backoff:
     """doc_id, n_words, log_score (the sum) and score (the mean) for each row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.coalesce(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))), F.lit(0)).alias("words")).first()
-    buckets, words = X.Buckets(size["bytes"], batch_bytes, bucket_bytes), size["words"]
+    buckets, words = X.Buckets(size["bytes"], batch_bytes, bucket_bytes, SPARE_BITS), size["words"]
 
     def send(table: pa.Table) -> list[tuple[int, bytes]]:
         e = Exploded(table.column("text"), order, buckets)
