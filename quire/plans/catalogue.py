@@ -131,14 +131,14 @@ def distinct_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("w").alias("n_words"), F.sha1(F.encode(F.array_join(F.array_sort("w"), " "), "UTF-8")).alias("words_sha1"))
 
 
-_PAIRED = "pairs AS (SELECT d.doc_id, d.text, b.item_id, b.text AS item FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT max(item_id) + 1 FROM benchmark))"
+_PAIRED = "pairs AS (SELECT d.doc_id, d.text, b.item_id, b.text AS item FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id % (SELECT max(item_id) + 1 FROM benchmark))"
 
 
 def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with one benchmark item, by the remainder of its id: linear, where all pairs would not be."""
+    """Every document with one benchmark item, by the remainder of its id: linear, where all pairs would not be. Where item_ids have gaps, it has none."""
     items = _table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
     most = items.agg((F.max("item_id") + 1).alias("n")).first()["n"] or 1
-    return _table(spark, sf_dir, "documents").withColumn("item_id", F.pmod("doc_id", F.lit(most))).join(items, "item_id")
+    return _table(spark, sf_dir, "documents").withColumn("item_no", F.pmod("doc_id", F.lit(most))).join(items, F.col("item_no") == F.col("item_id"), "left")
 
 
 def _coverage_query(name: str, version: int, f, sql: str) -> None:
