@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: While a table is written, shuffle files of what runs go when it ends, as nothing reads them once the table is there;
 #: and Python gets texts by the thousand, which bounds the buffers on both sides.
 _FREED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
-#: Small tables get few files, by their size and not by the number of cores.
+#: Tables of few columns get few files: by their size and not by the number of cores, and at most one for so many shuffle
+#: partitions, which are as many as whole texts ask for.
+PARTITIONS_A_FILE = 8
 _FEW_FILES = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
 
 
@@ -35,17 +37,17 @@ def _settings(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def written(df: DataFrame, name: str, *, few_files: bool = True) -> DataFrame:
+def written(df: DataFrame, name: str, *, few_files: bool = False) -> DataFrame:
     """df, computed once: written as Parquet to the shared folder and read again.
 
     A lost executor costs no more than the running stage, and later steps read the table
-    instead of computing it again. The shuffle files behind it are freed. few_files: partitions by their
-    size alone; not for what takes much computing for its size.
+    instead of computing it again. The shuffle files behind it are freed. few_files: for tables that are small beside
+    the texts and come from a shuffle; not for what takes much computing for its size.
     """
     spark = df.sparkSession
     path = f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
     with _settings(spark, _FREED | _FEW_FILES if few_files else _FREED):
-        df.write.parquet(path)
+        (df.coalesce(max(int(spark.conf.get("spark.sql.shuffle.partitions")) // PARTITIONS_A_FILE, 1)) if few_files else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out

@@ -95,10 +95,10 @@ def residual(cells: DataFrame, names: list[str]) -> float:
 def fitted(cells: DataFrame, exponents: dict[str, float], targets: dict[str, dict[str | None, float]] | None = None, tolerance: float = TOLERANCE) -> tuple[DataFrame, float]:
     """cells with ``weight``, raked until they meet their targets or come no nearer; and how far they are off."""
     names = list(exponents)
-    now = written(_rounds(_with_targets(cells, exponents, targets or {}), names, ROUNDS), "cells")
+    now = written(_rounds(_with_targets(cells, exponents, targets or {}), names, ROUNDS), "cells", few_files=True)
     off = residual(now, names)
     while off > tolerance:
-        old, now = now, written(_rounds(now, names, ROUNDS), "cells")
+        old, now = now, written(_rounds(now, names, ROUNDS), "cells", few_files=True)
         dropped(old)
         before, off = off, residual(now, names)
         if off > 0.9 * before:
@@ -123,10 +123,10 @@ def mixed(docs: DataFrame, *, exponents: dict[str, float] | None = None, targets
     """doc_id, source, lang, topic, n_tokens, probability and ``kept`` for each row of docs; after ``row`` if one is given."""
     exponents = exponents or EXPONENTS
     own = docs.select(*([row.alias("row")] if row is not None else []), "doc_id", "source", "lang", (topic() if topic_column is None else topic_column).alias("topic"), tokens().alias("n_tokens"))
-    cells = written(own.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")).where(F.col("tokens") > 0), "counts")
+    cells = written(own.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")).where(F.col("tokens") > 0), "counts", few_files=True)
     raked_, _ = fitted(cells, exponents, targets)
     # Written, so that its size is known when the join is planned: small ones are broadcast by Spark's own bound.
-    cells = written(probabilities(raked_, share), "cells")
+    cells = written(probabilities(raked_, share), "cells", few_files=True)
     cells = cells.select(*(F.col(c).alias(f"_{c}") for c in DIMENSIONS), "probability")
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in DIMENSIONS]
     found = own.join(cells, same[0] & same[1] & same[2], "left").drop(*(f"_{c}" for c in DIMENSIONS))

@@ -206,14 +206,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, ratio: tuple[int, int]) -> Data
 
 def _candidates(measured: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """Classes of equal sets (n, s1, s2, rep), and prefix rows (doc, n, gram, pos) of their representatives that may meet a partner."""
-    classes = written(measured.where("gram IS NULL AND n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = written(measured.where("gram IS NULL AND n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "classes", few_files=True)
     prefixes = measured.where("gram IS NOT NULL").select(F.col("doc_id").alias("doc"), "n", "gram", "pos")
-    every = written(prefixes.join(classes.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi"), "prefixes")
+    every = written(prefixes.join(classes.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi"), "prefixes", few_files=True)
     twice = every.groupBy("gram").agg(F.count("*").alias("rows")).where("rows > 1").select("gram")
-    some = written(every.join(twice, "gram", "left_semi"), "shared")
+    some = written(every.join(twice, "gram", "left_semi"), "shared", few_files=True)
     needed = F.least(F.lit(COMMON), F.ceil(F.ceil(F.col("n") * num / den) * num / den))
     enough = some.groupBy("doc", "n").agg(F.count("*").alias("k")).where(F.col("k") >= needed).select("doc")
-    rows = written(some.join(enough, "doc", "left_semi"), "rows")
+    rows = written(some.join(enough, "doc", "left_semi"), "rows", few_files=True)
     dropped(every, some)
     return classes, rows
 
@@ -226,7 +226,7 @@ def joined(docs: DataFrame, *, n: int = 4, ratio: tuple[int, int] = (85, 100), b
     """doc_id, n_shingles, component_id and class_id (the smallest doc_id of an equal set) for each row of docs."""
     num, den = ratio
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    measured = written(_measured(docs, n, ratio, batch_bytes, bucket_bytes), "measured", few_files=False)
+    measured = written(_measured(docs, n, ratio, batch_bytes, bucket_bytes), "measured")
     classes, rows = _candidates(measured, num, den)
     sets = _sets(measured)
 
@@ -235,29 +235,29 @@ def joined(docs: DataFrame, *, n: int = 4, ratio: tuple[int, int] = (85, 100), b
     member = [F.col(c).alias(f"{c}2") for c in ("doc", "n", "pos")]
     picks = rows.join(share, "doc").groupBy("gram").agg(F.min(F.struct((-F.col("share")).alias("h"), *member)).alias("one"), F.min(F.struct(F.xxhash64("doc").cast("double").alias("h"), *member)).alias("two"))
     near = rows.join(picks, "gram").select("doc", "n", "pos", F.inline(F.array_distinct(F.array("one", "two"))))
-    tried = written(_pairs(near, num, den), "pairs")
-    links = written(_verified(tried, sets, ratio), "links", few_files=False)
+    tried = written(_pairs(near, num, den), "pairs", few_files=True)
+    links = written(_verified(tried, sets, ratio), "links")
 
     labels = components(links).select(F.col("node").alias("doc"), F.col("component").alias("label"))
-    named = written(rows.join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc")), "named")
+    named = written(rows.join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc")), "named", few_files=True)
     parts = named.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("gram")
-    crowd = written(named.join(parts, "gram", "left_semi"), "open")
+    crowd = written(named.join(parts, "gram", "left_semi"), "open", few_files=True)
     sizes = _shared_sizes(sets.join(crowd.select("doc").distinct(), "doc", "left_semi"))
     # A document stays if what others of these hold of it is enough for a link with a set of its own size or smaller.
     likely = sizes.where(F.col("most") * (num + den) >= F.ceil(F.col("n") * (num + den) * num / den)).drop("n")
-    left = written(crowd.join(likely, "doc"), "open")
+    left = written(crowd.join(likely, "doc"), "open", few_files=True)
     right = left.select("gram", *(F.col(c).alias(f"{c}2") for c in ("doc", "n", "pos", "label", "most")))
     most = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"), "most", "most2")
     fits = most * (num + den) >= (F.col("n") + F.col("n2")).cast("long") * num
     across = left.join(right, "gram").where((F.col("label") < F.col("label2")) & fits)
-    rest = written(_pairs(across, num, den).join(tried, ["a", "b"], "left_anti"), "pairs")
-    found = components(links.union(written(_verified(rest, sets, ratio), "links", few_files=False)))
+    rest = written(_pairs(across, num, den).join(tried, ["a", "b"], "left_anti"), "pairs", few_files=True)
+    found = components(links.union(written(_verified(rest, sets, ratio), "links")))
 
     own = measured.where("gram IS NULL").select("doc_id", "n", "s1", "s2")
     reps = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     out = own.join(reps, ["n", "s1", "s2"], "left")
     some = (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    result = written(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(some, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.when(some, F.col("rep")).otherwise(F.col("doc_id")).alias("class_id")), "joined")
+    result = written(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(some, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.when(some, F.col("rep")).otherwise(F.col("doc_id")).alias("class_id")), "joined", few_files=True)
     dropped(measured, classes, rows, tried, links, named, crowd, left, rest)
     return result
 
@@ -270,10 +270,10 @@ def links(docs: DataFrame, *, n: int = 4, ratio: tuple[int, int] = (85, 100), ba
     """
     num, den = ratio
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    measured = written(_measured(docs, n, ratio, batch_bytes, bucket_bytes), "measured", few_files=False)
+    measured = written(_measured(docs, n, ratio, batch_bytes, bucket_bytes), "measured")
     _, rows = _candidates(measured, num, den)
     other = rows.select("gram", *(F.col(c).alias(f"{c}2") for c in ("doc", "n", "pos")))
-    tried = written(_pairs(rows.join(other, "gram").where("doc < doc2"), num, den), "pairs")
+    tried = written(_pairs(rows.join(other, "gram").where("doc < doc2"), num, den), "pairs", few_files=True)
     return _verified(tried, _sets(measured), ratio).distinct()
 
 
