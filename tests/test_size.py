@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+
 from quire.plans import catalogue
 from quire.sources import commandlog as C
+from quire.sources import containers as K
 
 
 def test_filled_frames_make_the_log_once(spark, sf_dir):
@@ -20,3 +23,20 @@ def test_filled_frames_agree_with_paragraphs(spark):
     want = sorted((r["doc_id"], r["page_no"], r["frame_no"], (r["doc_id"], r["frame_no"]) in filled) for r in C.frames(log).collect())
     assert sorted(map(tuple, C.filled_frames(log).collect())) == want
     assert {x[3] for x in want} == {True, False}
+
+
+def test_rows_of_files_are_given_on_by_the_thousand():
+    made = []
+
+    def rows():
+        for k in range(2 * K.ROWS + 500):
+            made.append(k)
+            yield "a", k
+
+    kinds = pa.schema([("doc_id", pa.string()), ("n", pa.int32())])
+    sizes, ahead = [], 0
+    for batch in K.batches_of(rows(), kinds):
+        sizes.append(batch.num_rows)
+        ahead = max(ahead, len(made) - sum(sizes))
+    assert sizes == [K.ROWS, K.ROWS, 500] and ahead == 0
+    assert [b.num_rows for b in K.batches_of(iter(()), kinds)] == [0]
