@@ -561,8 +561,7 @@ round(round(x, 1) * 28.3464566929::DOUBLE, 4) AS x_pt, round(y, 1) AS y_pt, 72.0
 )
 def drawing_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page items of zipped drawings, with the image of their style."""
-    files = _drawing_files(spark, sf_dir)
-    found = drawings.with_fills(drawings.page_items(drawings.items(files)), drawings.styles(files), drawings.fills(files))
+    found = drawings.page_items(drawings.filled_items(_drawing_files(spark, sf_dir)))
     return found.select("doc_id", "page_no", "page_name", "item_no", "kind", "item_id", "image_path", "text", F.round("x_pt", 4).alias("x_pt"), F.round("y_pt", 4).alias("y_pt"), "width_pt", F.round("page_width_pt", 4).alias("page_width_pt"))
 
 

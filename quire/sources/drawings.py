@@ -19,6 +19,7 @@ KINDS = ("frame", "polygon", "rect", "line")
 A4 = (595.28, 841.89)
 
 ITEM_SCHEMA = "doc_id string, page_no int, page_name string, item_no int, kind_rank int, kind string, style_id string, x string, y string, width string, height string, points string, runs array<struct<text:string,style_id:string>>, width_page string, height_page string"
+ITEM_FIELDS = [c.split()[0] for c in ITEM_SCHEMA.split(", ")]
 STYLE_SCHEMA = "doc_id string, family string, style_no int, style_id string, fill_image string, font string, size string, weight string, style string, color string, align string, margin_top string, margin_bottom string"
 FILL_SCHEMA = "doc_id string, name string, path string, content binary"
 
@@ -47,22 +48,41 @@ def _runs(paragraph: ElementTree.Element) -> list[dict]:
     return out + [{"text": "\n", "style_id": None} for s in paragraph if _local(s.tag) == "line-break"]
 
 
+def _items(content: ElementTree.Element, styles: ElementTree.Element) -> Iterator[tuple]:
+    layout = next(iter(_all(styles, "page-layout-properties")), None)
+    size = (_get(layout, "page-width"), _get(layout, "page-height")) if layout is not None else (None, None)
+    for page_no, page in enumerate(_all(content, "page"), 1):
+        number = 0
+        for rank, kind in enumerate(KINDS):
+            for node in [x for x in page if _local(x.tag) == kind]:
+                runs = [r for p in _all(node, "p") for r in _runs(p)]
+                yield page_no, _get(page, "name") or f"page{page_no}", number, rank, kind, _get(node, "style-name"), _get(node, "x"), _get(node, "y"), _get(node, "width"), _get(node, "height"), _get(node, "points"), runs, *size
+                number += 1
+
+
 def items(files: DataFrame) -> DataFrame:
     """Page items of drawings, by kind and then as they come; lengths as text."""
+    return _mapped(files, ITEM_SCHEMA, lambda raw: _items(_xml(raw, "content.xml"), _xml(raw, "styles.xml")))
 
-    def rows_of(raw: bytes) -> Iterator[tuple]:
-        content, styles = _xml(raw, "content.xml"), _xml(raw, "styles.xml")
-        layout = next(iter(_all(styles, "page-layout-properties")), None)
-        size = (_get(layout, "page-width"), _get(layout, "page-height")) if layout is not None else (None, None)
-        for page_no, page in enumerate(_all(content, "page"), 1):
-            number = 0
-            for rank, kind in enumerate(KINDS):
-                for node in [x for x in page if _local(x.tag) == kind]:
-                    runs = [r for p in _all(node, "p") for r in _runs(p)]
-                    yield page_no, _get(page, "name") or f"page{page_no}", number, rank, kind, _get(node, "style-name"), _get(node, "x"), _get(node, "y"), _get(node, "width"), _get(node, "height"), _get(node, "points"), runs, *size
-                    number += 1
 
-    return _mapped(files, ITEM_SCHEMA, rows_of)
+def filled_items(files: DataFrame) -> DataFrame:
+    """:func:`items` with image_path, as :func:`with_fills` finds it, looked up as each file is read."""
+
+    def rows_of(raw: bytes) -> Iterator[tuple]:
+        content, styles_ = _xml(raw, "content.xml"), _xml(raw, "styles.xml")
+        paths: dict[str | None, list[str]] = {}
+        for name, path in _fills(styles_):
+            paths.setdefault(name, []).append(path)
+        images: dict[str | None, list[str | None]] = {}
+        for family, _, name, image, *_ in _styles(content):
+            if family == "graphic":
+                images.setdefault(name, []).extend(paths.get(image, [None]) if image is not None else [None])
+        at = ITEM_FIELDS.index("style_id") - 1
+        for item in _items(content, styles_):
+            for path in images.get(item[at], [None]) if item[at] is not None else [None]:
+                yield *item, path
+
+    return _mapped(files, f"{ITEM_SCHEMA}, image_path string", rows_of)
 
 
 def page_items(found: DataFrame) -> DataFrame:
@@ -84,23 +104,29 @@ def page_items(found: DataFrame) -> DataFrame:
         "runs",
         F.coalesce(drawing_points(F.col("width_page")), F.lit(A4[0])).alias("page_width_pt"),
         F.coalesce(drawing_points(F.col("height_page")), F.lit(A4[1])).alias("page_height_pt"),
+        *(c for c in found.columns if c == "image_path"),
     )
 
 
+def _styles(content: ElementTree.Element) -> Iterator[tuple]:
+    number = 0
+    for auto in _all(content, "automatic-styles"):
+        for s in [x for x in auto if _local(x.tag) == "style"]:
+            found: dict[str, str] = {}
+            for p in s:
+                found |= {_local(k): v for k, v in p.attrib.items()}
+            yield _get(s, "family"), number, _get(s, "name"), found.get("fill-image-name"), found.get("font-name") or found.get("font-family"), found.get("font-size"), found.get("font-weight"), found.get("font-style"), found.get("color"), found.get("text-align"), found.get("margin-top"), found.get("margin-bottom")
+            number += 1
+
+
 def styles(files: DataFrame) -> DataFrame:
     """Automatic styles of every family, in their order."""
+    return _mapped(files, STYLE_SCHEMA, lambda raw: _styles(_xml(raw, "content.xml")))
 
-    def rows_of(raw: bytes) -> Iterator[tuple]:
-        number = 0
-        for auto in _all(_xml(raw, "content.xml"), "automatic-styles"):
-            for s in [x for x in auto if _local(x.tag) == "style"]:
-                found: dict[str, str] = {}
-                for p in s:
-                    found |= {_local(k): v for k, v in p.attrib.items()}
-                yield _get(s, "family"), number, _get(s, "name"), found.get("fill-image-name"), found.get("font-name") or found.get("font-family"), found.get("font-size"), found.get("font-weight"), found.get("font-style"), found.get("color"), found.get("text-align"), found.get("margin-top"), found.get("margin-bottom")
-                number += 1
 
-    return _mapped(files, STYLE_SCHEMA, rows_of)
+def _fills(styles_: ElementTree.Element) -> Iterator[tuple[str | None, str]]:
+    for node in _all(styles_, "fill-image"):
+        yield _get(node, "name"), _get(node, "href") or ""
 
 
 def fills(files: DataFrame) -> DataFrame:
@@ -109,9 +135,8 @@ def fills(files: DataFrame) -> DataFrame:
     def rows_of(raw: bytes) -> Iterator[tuple]:
         with zipfile.ZipFile(io.BytesIO(raw)) as z:
             names = set(z.namelist())
-            for node in _all(ElementTree.fromstring(z.read("styles.xml")), "fill-image"):
-                path = _get(node, "href") or ""
-                yield _get(node, "name"), path, z.read(path) if path in names else None
+            for name, path in _fills(ElementTree.fromstring(z.read("styles.xml"))):
+                yield name, path, z.read(path) if path in names else None
 
     return _mapped(files, FILL_SCHEMA, rows_of)
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
 import pyarrow as pa
 
 from quire.plans import catalogue
 from quire.sources import commandlog as C
 from quire.sources import containers as K
+from quire.sources import drawings as D
 
 
 def test_filled_frames_make_the_log_once(spark, sf_dir):
@@ -40,3 +44,22 @@ def test_rows_of_files_are_given_on_by_the_thousand():
         ahead = max(ahead, len(made) - sum(sizes))
     assert sizes == [K.ROWS, K.ROWS, 500] and ahead == 0
     assert [b.num_rows for b in K.batches_of(iter(()), kinds)] == [0]
+
+
+def test_drawing_items_read_each_file_once(spark, sf_dir):
+    plan = catalogue.QUERIES["drawing_items"](spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("lineitem.parquet") == 1
+
+
+def test_filled_items_are_items_with_fills(spark):
+    auto = "".join(f'<style name="{n}" family="{f}"><p fill-image-name="{i}"/></style>' if i else f'<style name="{n}" family="{f}"/>' for n, f, i in (("a", "graphic", "one"), ("a", "graphic", "two"), ("b", "graphic", "gone"), ("c", "text", "one"), ("d", "graphic", None)))
+    page = "".join(f'<rect style-name="{n}" x="1in"/>' for n in "abcde") + '<rect x="2in"/><frame style-name="a"><p>t</p></frame>'
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        z.writestr("content.xml", f"<doc><automatic-styles>{auto}</automatic-styles><page>{page}</page></doc>")
+        z.writestr("styles.xml", '<doc><fill-image name="one" href="1.png"/><fill-image name="two" href="2.png"/><fill-image name="two" href="3.png"/><fill-image/></doc>')
+    files = spark.createDataFrame([("f", raw.getvalue())], "path string, content binary")
+    columns = ["doc_id", "page_no", "item_no", "kind", "style_id", "x_pt", "image_path"]
+    got = D.page_items(D.filled_items(files)).select(columns).collect()
+    want = D.with_fills(D.page_items(D.items(files)), D.styles(files), D.fills(files)).select(columns).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 11
